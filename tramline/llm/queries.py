@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, mixing, topn
+from tramline.llm import bpe, mixing, spam, topn
 from tramline.session import checkpointed, table
 
 TOP = 5
@@ -42,8 +42,18 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return spam.checked(docs, spam.flagged(docs)).select("doc_id")
+
+
+def p9_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagged pages with their deviations."""
+    return spam.flagged(table(spark, sf, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p7_ids, p7_text, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p7_ids, p7_text, p8_mix, p8_shares, p9_found, p9_curves)}
 
 
 def oracle_sql() -> dict[str, str]:
