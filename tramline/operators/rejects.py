@@ -1,8 +1,9 @@
 """Rows that fail to parse: valid lines as typed rows, the others with the reason.
 
 Blocks of lines are parsed at once by Arrow's CSV reader and checked by whole-column
-tests. A block that fails anywhere is bisected until the bad records stand alone; only
-those go through the strict reader, which names the field and the reason.
+tests. A block that fails anywhere is bisected until no more than a handful of records
+are left around the bad ones; only those go one by one through the strict reader, which
+names the field and the reason.
 
 Defined cases: a null line, an unknown or null feed and an empty line are rejects; a
 null line_id stays null; repeated lines are each judged; very long lines are read whole;
@@ -14,6 +15,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date
+from functools import cached_property
 from io import BytesIO
 
 import numpy as np
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t"
-_QUOTED = r'(?:[^",]*|"(?:[^"]|"")*")'
+#: A failing block of so many records is read one by one: the strict reader costs less than another bulk attempt.
+LEAF = 32
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,18 @@ class Contract:
     fields: tuple[str, ...]
     checks: dict[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def line(self) -> str:
+        """Pattern of a line whose fields have the right form; line breaks are left to the strict reader."""
+        either = []
+        for f in self.fields:
+            shape = SHAPES.get(self.checks.get(f, ""))
+            if shape is None:
+                either.append(r'(?:[^",\r\n\x00]*|"(?:[^"\r\n\x00]|"")*")')
+            else:
+                either.append(rf'(?:[ \t]*{shape}[ \t]*|"[ \t]*{shape}[ \t]*")')
+        return rf"\A{','.join(either)}\z"
+
 
 LEGS = Contract(
     "legs",
@@ -49,7 +65,7 @@ DAILY_OD = Contract(
 CONTRACTS = (LEGS, DAILY_OD)
 NUMBERS = {"positive": ("double", pa.float64()), "hour": ("int", pa.int32())}
 #: RE2 and re read these alike.
-SHAPES = {"date": r"[0-9]{8}", "stop": r"[0-9]{9}(?:\.0)?", "positive": r"[0-9]+(?:\.[0-9]+)?", "hour": r"[0-9]{1,2}", "filled": r"(?s:.+)"}
+SHAPES = {"date": r"[0-9]{8}", "stop": r"[0-9]{9}(?:\.0)?", "positive": r"[0-9]+(?:\.[0-9]+)?", "hour": r"[0-9]{1,2}"}
 REASONS = {"date": "not a real date", "filled": "empty", "time": "unreadable time", "stop": "not a nine-digit stop id", "positive": "not a number above 0", "hour": "not an hour 0-23"}
 
 
@@ -76,18 +92,18 @@ def _digits_of_time(col: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(n, 12), pc.binary_join_element_wise(t, "00", ""), pc.if_else(pc.equal(n, 10), pc.binary_join_element_wise(t, "0000", ""), t))
 
 
-def parse_block(lines: pa.Array, contract: Contract) -> list[pa.Array]:
+def plain(lines: pa.Array, contract: Contract) -> tuple[pa.Array, np.ndarray]:
+    """The lines without a final carriage return, and which of them have the contract's form."""
+    lines = pc.replace_substring_regex(lines, r"\r\z", "")
+    return lines, pc.fill_null(pc.match_substring_regex(lines, contract.line), False).to_numpy(zero_copy_only=False)
+
+
+def parse_block(lines: pa.Array, formed: np.ndarray, contract: Contract) -> list[pa.Array]:
     """Typed columns of a block in which every line is valid; BlockError if any is not.
 
     Accepting is always right; a rare valid line (one with a line break in a field) may be refused and is left to the strict reader.
     """
-    if lines.null_count:
-        raise BlockError
-    lines = pc.replace_substring_regex(lines, r"\r\z", "")
-    _require(pc.invert(pc.match_substring_regex(lines, r"[\r\n\x00]")))
-    quoted = pc.match_substring(lines, '"')
-    if pc.any(quoted, min_count=0).as_py():
-        _require(pc.match_substring_regex(lines.filter(quoted), rf"\A{_QUOTED}(?:,{_QUOTED})*\z"))
+    _require(formed)
     try:
         read = pacsv.read_csv(
             BytesIO(("\n".join(lines.to_pylist()) + "\n").encode()),
@@ -104,8 +120,8 @@ def parse_block(lines: pa.Array, contract: Contract) -> list[pa.Array]:
         col = pc.utf8_trim(read[name].combine_chunks(), BLANKS)
         col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
         check = contract.checks.get(name)
-        if check in SHAPES:
-            _require(pc.match_substring_regex(col, rf"\A{SHAPES[check]}\z"))
+        if check == "filled":
+            _require(pc.not_equal(col, ""))
         if check == "date":
             _require(_days(col))
         elif check == "time":
@@ -154,7 +170,11 @@ def _split(line: str) -> list[str]:
 
 
 def _real_day(s: str) -> bool:
-    return bool(_days(pa.array([s]))[0])
+    try:
+        date(int(s[:4]), int(s[4:6]), int(s[6:]))
+    except ValueError:
+        return False
+    return True
 
 
 def _valid(check: str, v: str) -> bool:
@@ -162,6 +182,8 @@ def _valid(check: str, v: str) -> bool:
         t = re.sub("[^0-9]", "", v[:-2] if v.endswith(".0") else v)
         t += {12: "00", 10: "0000"}.get(len(t), "")
         return len(t) == 14 and _real_day(t[:8]) and t[8:10] < "24" and t[10:12] < "60" and t[12:] < "60"
+    if check == "filled":
+        return v != ""
     if not re.fullmatch(SHAPES[check], v):
         return False
     return {"date": lambda: _real_day(v), "positive": lambda: float(v) > 0, "hour": lambda: int(v) < 24}.get(check, lambda: True)()
@@ -188,17 +210,17 @@ def diagnose(line: str | None, contract: Contract | None) -> tuple[str | None, s
     return None, None, out
 
 
-def bisect(lines: pa.Array, contract: Contract, start: int = 0) -> Iterator[tuple[int, list[pa.Array] | None]]:
-    """(offset, typed columns) of plainly valid stretches and (offset, None) of single suspects."""
+def bisect(lines: pa.Array, formed: np.ndarray, contract: Contract, start: int = 0) -> Iterator[tuple[int, list[pa.Array] | None]]:
+    """(offset, typed columns) of plainly valid stretches and (offset, None) of each suspect record."""
     try:
-        yield start, parse_block(lines, contract)
+        yield start, parse_block(lines, formed, contract)
     except BlockError:
-        if len(lines) == 1:
-            yield start, None
+        if len(lines) <= LEAF:
+            yield from ((start + i, None) for i in range(len(lines)))
             return
         half = len(lines) // 2
-        yield from bisect(lines.slice(0, half), contract, start)
-        yield from bisect(lines.slice(half), contract, start + half)
+        yield from bisect(lines.slice(0, half), formed[:half], contract, start)
+        yield from bisect(lines.slice(half), formed[half:], contract, start + half)
 
 
 def _types(contracts: tuple[Contract, ...]) -> dict[str, tuple[str, pa.DataType]]:
@@ -225,7 +247,7 @@ def parse_lines(raw: DataFrame, contracts: tuple[Contract, ...] = CONTRACTS, blo
 
     def typed(part: pa.RecordBatch, contract: Contract | None) -> Iterator[pa.RecordBatch]:
         lines = part.column("raw_text")
-        pieces = bisect(lines, contract) if contract else ((i, None) for i in range(part.num_rows))
+        pieces = bisect(*plain(lines, contract), contract) if contract else ((i, None) for i in range(part.num_rows))
         strict: list[tuple[int, tuple]] = []
         for at, cols in pieces:
             if cols is None:
