@@ -46,15 +46,15 @@ def demand_top(df: DataFrame, keys: list[str], observed: str, item: str, k: int)
 def retain_observed_top(df: DataFrame, keys: list[str], observed: str, u: str, item: str, k: int) -> DataFrame:
     """k rows: if at least min(k, n) are observed, the most observed; else all observed, filled up by utility."""
     df = beside(df, keys, __n=F.count(F.lit(1)), __seen=F.count_if(F.col(observed) > 0))
-    enough = F.col("__seen") >= F.least(F.lit(k), F.col("__n"))
+    enough = F.col("__seen") >= F.least(F.lit(k), F.col("__size"))
     order = [(F.col(observed) > 0).desc(), F.when(enough, F.col(observed)).otherwise(0.0).desc(), F.col(u).desc(), F.col(item)]
-    return top(df, keys, order, k).drop("__n", "__seen")
+    return top(df, keys, order, k).drop("__size", "__seen")
 
 
 def _sets(df: DataFrame, keys: list[str], observed: str) -> DataFrame:
     """Groups with at least two rows and some demand take part in the fit."""
     w = Window.partitionBy(*keys)
-    return df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__N", F.sum(observed).over(w)).filter("__n >= 2 and __N > 0")
+    return df.withColumn("__size", F.count(F.lit(1)).over(w)).withColumn("__whole", F.sum(observed).over(w)).filter("__size >= 2 and __whole > 0")
 
 
 def moments(selected: DataFrame, keys: list[str], beta: dict[str, float], observed: str = "observed") -> DataFrame:
@@ -69,13 +69,13 @@ def moments(selected: DataFrame, keys: list[str], beta: dict[str, float], observ
         rows = rows.withColumn(f"__m_{c}", F.sum(F.col("__p") * F.col(c)).over(w))
     aggs = [
         F.sum(F.col(observed) * F.log(F.greatest("__p", F.lit(1e-300)))).alias("log_likelihood"),
-        (-F.sum(F.col("__N") / F.col("__n") * F.log("__n"))).alias("null_log_likelihood"),
-        F.sum(1.0 / F.col("__n")).alias("groups"),
+        (-F.sum(F.col("__whole") / F.col("__size") * F.log("__size"))).alias("null_log_likelihood"),
+        F.sum(1.0 / F.col("__size")).alias("groups"),
         F.sum(observed).alias("demand"),
     ]
-    aggs += [F.sum((F.col(observed) - F.col("__N") * F.col("__p")) * F.col(c)).alias(f"g_{c}") for c in names]
+    aggs += [F.sum((F.col(observed) - F.col("__whole") * F.col("__p")) * F.col(c)).alias(f"g_{c}") for c in names]
     dev = {c: F.col(c) - F.col(f"__m_{c}") for c in names}
-    aggs += [F.sum(F.col("__N") * F.col("__p") * dev[a] * dev[b]).alias(f"i_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
+    aggs += [F.sum(F.col("__whole") * F.col("__p") * dev[a] * dev[b]).alias(f"i_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
     return rows.agg(*aggs)
 
 
