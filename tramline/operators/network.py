@@ -12,9 +12,10 @@ EDGE = ["hour", "route_id", "from_stop_id", "to_stop_id"]
 EPS = 1e-12
 
 
-def edge_tokens(c: str) -> Column:
-    """``route|from|to;...`` to an array of structs, in order, each edge once; malformed tokens give null parts."""
-    parts = F.filter(F.array_distinct(F.split(F.col(c), ";")), lambda t: t != "")
+def edge_tokens(c: str, once: bool = True) -> Column:
+    """``route|from|to;...`` to an array of structs, in order, each edge once if once; malformed tokens give empty parts."""
+    parts = F.filter(F.split(F.col(c), ";"), lambda t: t != "")
+    parts = F.array_distinct(parts) if once else parts
     return F.transform(parts, lambda t: F.struct(F.split_part(t, F.lit("|"), F.lit(1)).alias("route_id"), F.split_part(t, F.lit("|"), F.lit(2)).alias("from_stop_id"), F.split_part(t, F.lit("|"), F.lit(3)).alias("to_stop_id")))
 
 
