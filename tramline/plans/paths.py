@@ -163,7 +163,7 @@ SQL = {
         b AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY hour,origin,destination,signature ORDER BY score, transfers) AS k FROM d) WHERE k=1) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY hour,origin,destination ORDER BY score, signature) AS INT) AS rank FROM b) WHERE rank<=15""",
     "observed_patterns": f"""WITH {_POOL}, {_EDGES}, {_BEST}, t AS (SELECT trip_hash, service_date, hour, {_ID('origin_stop_id')} AS origin, {_ID('destination_stop_id')} AS destination, route_chain, transfer_stop_chain, max(coalesce(passengers,0)) AS passengers FROM purpose_trips GROUP BY 1,2,3,4,5,6,7),
         dy AS (SELECT service_date, row_number() OVER (ORDER BY service_date)<=floor(count(*) OVER ()*2/3) AS tr FROM (SELECT DISTINCT service_date FROM t)), p AS (SELECT hour, origin, destination, route_chain, transfer_stop_chain, sum(CASE WHEN tr THEN passengers ELSE 0 END) AS train, sum(passengers) AS whole FROM t JOIN dy USING (service_date) GROUP BY 1,2,3,4,5),
-        q AS (SELECT *, row_number() OVER () AS pid, string_split(route_chain,'>') AS rs, list_filter(string_split(transfer_stop_chain,';'), x -> x<>'') AS hs, len(string_split(route_chain,'>'))-1 AS transfers FROM p),
+        q AS (SELECT *, row_number() OVER () AS pid, string_split(route_chain,'>') AS rs, list_filter(string_split(transfer_stop_chain,';'), lambda x: x<>'') AS hs, len(string_split(route_chain,'>'))-1 AS transfers FROM p),
         g AS (SELECT q.*, unnest(rs) AS route_id, generate_subscripts(rs,1) AS i FROM q WHERE len(hs)=transfers AND transfers<=2), lg AS (SELECT pid, hour, route_id, CASE WHEN i=1 THEN origin ELSE split_part(hs[i-1],'>',2) END AS board, CASE WHEN i>transfers THEN destination ELSE split_part(hs[i],'>',1) END AS alight FROM g),
         ok AS (SELECT pid, count(*) AS n_ok FROM lg JOIN bl USING (hour, route_id, board, alight) GROUP BY 1)
         SELECT CASE WHEN coalesce(route_chain,'')='' THEN 'missing_routes' WHEN transfers>2 THEN 'transfer_cap' WHEN len(hs)<>transfers THEN 'chain_length_mismatch' WHEN coalesce(n_ok,0)<=transfers THEN 'unmapped_route_leg' ELSE 'mapped' END AS outcome, CAST(transfers AS INT) AS transfers, count(*) AS patterns, sum(train) AS train, sum(whole) AS whole FROM q LEFT JOIN ok USING (pid) GROUP BY 1,2""",
