@@ -45,7 +45,7 @@ def demand_top(df: DataFrame, keys: list[str], observed: str, item: str, k: int)
 
 def retain_observed_top(df: DataFrame, keys: list[str], observed: str, u: str, item: str, k: int) -> DataFrame:
     """k rows: if at least min(k, n) are observed, the most observed; else all observed, filled up by utility."""
-    df = beside(df, keys, __n=F.count(F.lit(1)), __seen=F.count_if(F.col(observed) > 0))
+    df = beside(df, keys, __size=F.count(F.lit(1)), __seen=F.count_if(F.col(observed) > 0))
     enough = F.col("__seen") >= F.least(F.lit(k), F.col("__size"))
     order = [(F.col(observed) > 0).desc(), F.when(enough, F.col(observed)).otherwise(0.0).desc(), F.col(u).desc(), F.col(item)]
     return top(df, keys, order, k).drop("__size", "__seen")
