@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Fixed by the vocabulary: its pattern, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Kept states and pieces; beyond that the tables start anew, with the same results.
-MAX_KEPT = 300_000
+MAX_KEPT = 150_000
 
 
 class Vocabulary:

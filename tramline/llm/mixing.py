@@ -51,7 +51,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 def mix(sizes: DataFrame, planned: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
     """key, source, n_tokens, repeats of every chosen document; sizes has key, source, n_tokens."""
     p = planned.filter("copies > 0 or rest_tokens > 0").select("source", "copies", "rest_tokens", "inclusion")
-    docs = sizes.filter("n_tokens > 0").join(F.broadcast(p), "source")
+    docs = sizes.select(key, "source", "n_tokens").filter("n_tokens > 0").join(F.broadcast(p), "source")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) + 0.5) / float(1 << 53)
     odds = lambda x: x / (1 - x)
     # Within a source the rank falls and rises with the random number, which fills the bins evenly.

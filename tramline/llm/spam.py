@@ -33,8 +33,8 @@ CUTS = (1, 2, 4, 8, 16, 32, 64)
 MIN_WORDS, MIN_PAGES = 64, 30
 #: Robust deviations from the norm beyond which a curve is extreme.
 FAR = 1.5
-_CUE = re.compile(r"^.*-->.*$|^\s*\d+\s*$", re.M)
-_SITE = re.compile(r"\w[.,\])]+\w+/|//|www|\[url|href|\]\(", re.I)
+_CUE = re.compile(r"^.*-->.*$|^[ \t]*\d+[ \t]*$", re.M)
+_SITE = re.compile(r"\w[.,\])]{1,3}\w{1,63}/|//|www|\[url|href|\]\(", re.I)
 _EDGE = " \t.,;:!?|•·*♪\"'()[]<>«»-–—…/¿¡"
 
 

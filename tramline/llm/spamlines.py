@@ -25,15 +25,17 @@ SPEECH = frozenset(
     """.split()
 )
 _CUE = re.compile(r"-->|^\s*[\[{(]?\d{1,2}:\d\d(?::\d\d)?[.,:]\d{1,3}\b.*\d:\d\d|^\s*\{\d+\}\{\d+\}")
-_MARK = re.compile(r"</?\s*(?:i|b|u|s|font|br|p|span)\b[^>]*>|\{\\[^}]*\}", re.I)
+_MARK = re.compile(r"</?\s*(?:i|b|u|s|font|br|p|span)\b[^>]{0,300}>|\{\\[^}]{0,300}\}", re.I)
 _DOT = r"(?:\.|,|\s\.\s|\s?[\[({]\s?\.\s?[\])}]\s?|\s[\[(]?dot[\])]?\s|\[dot\]|\(dot\))"
 _TLD = r"(?:t[ec]st|[ilí1]nva[ilíI1][ilíI1]d|[ec]xamp[ilI1][ec]|com|net|org|info)"
 #: Bare domains, also with the dot spelled out, and whatever begins as an address.
-_URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:?\s?//\s?|\bwww\s?{_DOT}?)[^\s<>\"\])]*(?:{_DOT}[^\s<>\"\])]+)*|[\w-]+{_DOT}{_TLD}\b(?![\w.])(?:/[^\s<>\"\])]*)?", re.I)
-_ANCHOR = re.compile(r"<a\s[^>]*>.*?(?:</a>|$)|\[url[^\]]*\].*?(?:\[/url\]|$)|\[[^\]]*\]\([^)]*\)?", re.I)
+_URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:?\s?//\s?|\bwww\s?{_DOT}?)[^\s<>\"\])]{{0,500}}(?:{_DOT}[^\s<>\"\])]{{1,500}}){{0,9}}|(?<![\w-])[\w-]{{1,63}}{_DOT}{_TLD}\b(?![\w.])(?:/[^\s<>\"\])]{{0,500}})?", re.I)
+_ANCHOR = re.compile(r"<a\s[^>]{1,500}>|\[url[^\]]{0,500}\]|\[[^\]\[]{0,200}\]\([^)]{1,500}", re.I)
 _HASHTAG = re.compile(r"#[^\W\d_][^\s#]*")
 _GOODS = re.compile(r"\d[.,][\dOol]{2}\s?(?:€|\$|£|₩|USD|EUR|GBP|KRW|â‚¬|\S{1,6}$)|\bSKU\b|\b\d+\s?GB\b|-\s?\d+\s?%", re.I)
-_SPLIT = re.compile(r"\s*[;•|·,!?.]+\s+|\s+[/\-–—|»«]\s+|\s*[;•|·]\s*")
+_SPLIT = re.compile(r"[;•|·,!?.]{1,8}\s|\s[/\-–—|»«]\s|[;•|·]")
+#: What a wrong encoding leaves of letters. All patterns here are bounded, so that long lines cost in proportion.
+_LEFT = re.compile("[\x80-\u02ff\ufffd\u2000-\u25ff]+")
 _STRIP = " \t.,;:!?|•·*♪♫\"'()[]<>«»„“”-–—…/¿¡#"
 _MUSIC = ("♪", "♫", "â™ª", "âª")
 
@@ -89,8 +91,8 @@ def _repeats(words: list[str]) -> float:
 
 def broken(text: str) -> bool:
     """True if the letters are mostly those that a wrong encoding leaves, so that words of speech can't be known."""
-    letters = [c for c in text if c.isalpha() or c == "\ufffd" or "\x80" <= c < "\xc0"]
-    return sum("\x80" <= c <= "\u02ff" or c == "\ufffd" or "\u2000" <= c < "\u2600" for c in letters) > 0.3 * len(letters)
+    bad = len(text) - len(_LEFT.sub("", text))
+    return bad > 0.3 * max(1, sum(map(str.isalpha, text)))
 
 
 def classify(line: str, unreadable: bool = False) -> str:
