@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 def _ranked(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
     """One row per entity and rank: the start and the end of that rank."""
     keep = df.select(*entity, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    keep = keep.filter(F.col("_s").isNotNull() & (F.col("_e") > F.col("_s")))
+    # One condition over the aggregate's result: below it, costly expressions for start and end would be computed again for the filter.
+    whole = F.col("_e") > F.col("_s")
     for c in entity:
-        keep = keep.filter(F.col(c).isNotNull())
-    longest = keep.groupBy(*entity, "_s").agg(F.max("_e").alias("_e"))
+        whole = whole & F.col(c).isNotNull()
+    longest = keep.groupBy(*entity, "_s").agg(F.max("_e").alias("_e")).filter(F.coalesce(whole, F.lit(False)))
     ends = longest.repartition(*entity).select(*entity, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_s").alias("t")), F.struct(F.lit(1).alias("side"), F.col("_e").alias("t")))).alias("b"))
     ends = ends.select(*entity, "b.side", "b.t")
     rank = F.row_number().over(Window.partitionBy(*entity, "side").orderBy("t"))
