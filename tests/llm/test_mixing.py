@@ -45,3 +45,11 @@ def test_given_total_whole_copies_and_nothing(spark):
     assert rows == [] and by["a"].docs == 0
     rows, by, _ = run(spark, sizes, [])
     assert rows == [] and by == {}
+
+
+def test_weights_make_inclusion_unequal(spark):
+    s = spark.createDataFrame([(i, "a", 10, [None, 0.5, 1.0, 4.0][i % 4]) for i in range(8000)], SIZES + ", quality double")
+    p = mixing.plan(s, spark.createDataFrame([("a", 0.2, 1)], TARGETS))
+    got = mixing.mix(s, p, weight="quality").collect()
+    n = [sum(r.doc_id % 4 == k for r in got) for k in range(4)]
+    assert len(got) == 1600 and n[0] == 0 and n[1] < n[2] < n[3] and n[3] > 2.5 * n[2]

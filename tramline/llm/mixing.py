@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target in tokens, up to its cap, is spread evenly over its documents: each is
-expected so many times. The whole part of that number are certain copies. The rest is an
+A source's target in tokens, up to its cap, is spread over its documents, evenly or by a
+weight: each is expected so many times. The whole part of that number are certain copies. The rest is an
 inclusion probability, and documents are ranked by random odds divided by inclusion odds;
 the first of them whose tokens fill the rest of the target are selected once more. The
 sample's size in tokens is thus fixed up to one document.
@@ -48,15 +48,25 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return p.withColumn("rest_tokens", F.when(F.col("copies") < F.col("max_repeats"), rest).otherwise(0.0)).withColumn("inclusion", F.col("_each") - F.col("copies")).drop("_give", "_each")
 
 
-def mix(sizes: DataFrame, planned: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """key, source, n_tokens, repeats of every chosen document; sizes has key, source, n_tokens."""
+def mix(sizes: DataFrame, planned: DataFrame, key: str = "doc_id", seed: int = 17, weight: str | None = None) -> DataFrame:
+    """key, source, n_tokens, repeats of every chosen document; sizes has key, source, n_tokens and the weight, if any.
+
+    weight: makes the inclusion probabilities unequal within a source, in proportion to it (null, NaN and negative count as 0).
+    """
     p = planned.filter("copies > 0 or rest_tokens > 0").select("source", "copies", "rest_tokens", "inclusion")
-    docs = sizes.select(key, "source", "n_tokens").filter("n_tokens > 0").join(F.broadcast(p), "source")
+    w = F.greatest(F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    docs = sizes.select(key, "source", "n_tokens", w.alias("_w")).filter("n_tokens > 0").join(F.broadcast(p), "source")
+    mean = F.lit(1.0)
+    if weight:
+        means = docs.groupBy("source").agg((F.sum(F.col("_w") * F.col("n_tokens")) / F.sum("n_tokens")).alias("_mean"))
+        docs, mean = docs.join(F.broadcast(means), "source"), F.greatest("_mean", F.lit(1e-12))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) + 0.5) / float(1 << 53)
     odds = lambda x: x / (1 - x)
-    # Within a source the rank falls and rises with the random number, which fills the bins evenly.
-    ratio = F.when(F.col("rest_tokens") > 0, odds(u) / F.greatest(odds(F.col("inclusion")), F.lit(1e-12)))
-    ranked = docs.withColumn("_r", ratio).withColumn("_bin", F.floor(u * BINS).cast("int"))
+    clip = lambda x: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), x))
+    # The rank: random odds over inclusion odds. Times the odds of the source's mean it is spread evenly, which fills the bins alike.
+    ratio = F.when(F.col("rest_tokens") > 0, odds(u) / odds(clip(F.col("inclusion") * F.col("_w") / mean)))
+    level = F.col("_r") * odds(clip(F.col("inclusion")))
+    ranked = docs.withColumn("_r", ratio).withColumn("_bin", F.least(F.floor(level / (1 + level) * BINS), F.lit(BINS - 1)).cast("int"))
     hist = ranked.filter("rest_tokens > 0").groupBy("source", "_bin").agg(F.sum("n_tokens").alias("_n"), F.first("rest_tokens").alias("_rest"))
     upto = F.sum("_n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
     # The bin in which the running size passes the target; where none does, all bins are taken whole.
