@@ -31,8 +31,8 @@ from tramline.session import checkpointed
 CUTS = (1, 2, 4, 8, 16, 32, 64)
 #: Pages with fewer words have no curve; cells with fewer pages no norm of their own.
 MIN_WORDS, MIN_PAGES = 64, 30
-#: Robust deviations from the norm beyond which a curve is extreme.
-FAR = 1.5
+#: Robust deviations from the norm beyond which a curve is set apart; wide enough to keep mixed pages for the exact check.
+FAR = 1.0
 _CUE = re.compile(r"^.*-->.*$|^[ \t]*\d+[ \t]*$", re.M)
 _SITE = re.compile(r"\w[.,\])]{1,3}\w{1,63}/|//|www|\[url|href|\]\(", re.I)
 _EDGE = " \t.,;:!?|•·*♪\"'()[]<>«»-–—…/¿¡"

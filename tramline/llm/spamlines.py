@@ -11,15 +11,15 @@ SPEECH = frozenset(
     a about again all alright an and any anyone are at be been but by can can't could did didn't do does don't every get go gone had has have he hear here how i i'll i'm if in is it it's
     just know let let's like may me mean more must my never no not nothing of on only or our over said say she she's should since so some stand than that the their them then there there's they
     they'll this to too told until wait wanted was we we'll we're were what when where which who why will with without would yes you'd you'll you're your write
-    algo alguien antes aquí así bajo como cómo con cuando cuál de dejó del dejado desde después dijiste dónde durante el ella en entre era es eso esto espérame está estarían estoy fue hay hasta iba
+    algo alguien antes aquí así bajo como cómo con cuando cuál de dejó del dejado desde después dijiste dónde durante el ella entre era es eso esto espérame está estarían estoy fue hay hasta iba
     junto la las le lo los me mi muy más nada ni no nos nunca o para pero por porque qué que quise quién se sí si sin sobre su también te tenemos todo tras tu un una vamos y ya yo
     aber alle als am auf aus bei bin bis da das dass davon dem den der des die dies doch du ein eine einen einer er es etwas für gesagt gibt hast hat heißt hier hinter ich ihr im in ist ja
     jemand kein keine komm könnte man mehr mein mich mir mit müssen na nach nein nicht nichts nie noch nur oder ohne seit sie sind so sollte um und unter vom vor wäre wären war warte warum was weg wer
     wie wir wird wollte wo zu zum zur
-    alors à après attends au aux avait avec avant ça c'est ce ces cette chose comment d'accord dans de derrière des dit donc du elle en est et il ils j'ai jamais je jusqu'à la laissé le les leur
+    alors à après attends au aux avait avec avant ça c'est ce ces cette chose comment d'accord dans de derrière des dit donc du elle est et il ils j'ai jamais je jusqu'à la laissé le les leur
     lui m'avais m'en mais me moi mon ne non nous on ou où parlé par pendant plus pour pourquoi près puis qu'il quand que qui rien sa sans se ses si son sous sur ta te telle ton trop tu un une va
     viens voulu vous y
-    а без бы был был была было быть в вам вас вот все всё вы где говорил да для до его ее её если есть ещё же жди за зачем здесь и из или им их к как когда кто ладно мне меня мы на надо не нет
+    а без бы был был была было быть в вам вас вот все всё вы где говорил да до его ее её если есть ещё же жди за зачем здесь и из или им их к как когда кто ладно мне меня мы на надо не нет
     ничего но ну о об он она они оставил от по под пойдём после потом почему рассказал так такое там то только ты тут у уже хотел что чтобы это этот я
     그 그걸 그랬어 그리고 기다려 가자 누가 두고 갔지 말해 말이야 사라졌어 아니 안 알았어 없어 여긴 왜 줬어 돼 이 저 것 내 너 나 우리
     """.split()
@@ -31,13 +31,16 @@ _TLD = r"(?:t[ec]st|[ilí1]nva[ilíI1][ilíI1]d|[ec]xamp[ilI1][ec]|com|net|org|i
 #: Bare domains, also with the dot spelled out, and whatever begins as an address.
 _URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:?\s?//\s?|\bwww\s?{_DOT}?)[^\s<>\"\])]{{0,500}}(?:{_DOT}[^\s<>\"\])]{{1,500}}){{0,9}}|(?<![\w-])[\w-]{{1,63}}{_DOT}{_TLD}\b(?![\w.])(?:/[^\s<>\"\])]{{0,500}})?", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]{1,500}>|\[url[^\]]{0,500}\]|\[[^\]\[]{0,200}\]\([^)]{1,500}", re.I)
-_HASHTAG = re.compile(r"#[^\W\d_][^\s#]*")
+_HASHTAG = re.compile(r"#[^\s\d#.,!?][^ \t#]*")
 _GOODS = re.compile(r"\d[.,][\dOol]{2}\s?(?:€|\$|£|₩|USD|EUR|GBP|KRW|â‚¬|\S{1,6}$)|\bSKU\b|\b\d+\s?GB\b|-\s?\d+\s?%", re.I)
 _SPLIT = re.compile(r"[;•|·,!?.]{1,8}\s|\s[/\-–—|»«]\s|[;•|·]")
 #: What a wrong encoding leaves of letters. All patterns here are bounded, so that long lines cost in proportion.
 _LEFT = re.compile("[\x80-\u02ff\ufffd\u2000-\u25ff]+")
 _STRIP = " \t.,;:!?|•·*♪♫\"'()[]<>«»„“”-–—…/¿¡#"
-_MUSIC = ("♪", "♫", "â™ª", "âª")
+_MUSIC = ("♪", "♫", "â™ª", "â\x99ª", "âª", "Ã¢Â\x99Âª", "Ã¢Â™Âª", "в™Є", "ΓÖ¬", "¢Ü")
+#: A speaker's name before the words; lyrics whose notes became other signs, and sounds.
+_SPEAKER = re.compile(r"^\s*(?:-\s*)?\w{1,30}\s?[|:]\s")
+_SOUND = re.compile(r"^\s*(?:[?*#¶]\s|[\[(*].*[\])*]\W*$)")
 
 
 def text_lines(text: str) -> list[tuple[str, int]]:
@@ -51,7 +54,7 @@ def text_lines(text: str) -> list[tuple[str, int]]:
         if "-->" in line or _CUE.search(line):
             cue += 1
             continue
-        if bare.isdigit():
+        if bare.isdigit() or not (any(map(str.isalnum, bare)) or "\ufffd" in bare):
             continue
         out.append((line, cue))
     return out
@@ -106,16 +109,17 @@ def classify(line: str, unreadable: bool = False) -> str:
     if len(tags) >= 2 and sum(map(len, tags)) > 0.6 * len(line.replace(" ", "")):
         return "tags"
     plain = _MARK.sub(" ", line)
-    words = _words(plain)
+    bare = _SPEAKER.sub("", plain)
+    words = _words(bare)
     speech = _speech(words)
     if _GOODS.search(plain) and speech < 0.2 and len(words) >= 3:
         return "goods"
-    if any(m in line for m in _MUSIC):
+    if any(m in line for m in _MUSIC) or _SOUND.search(bare):
         return "speech"
     items = [x for x in _SPLIT.split(plain) if x.strip(_STRIP)]
     if len(words) >= (12 if unreadable else 6) and speech < 0.15 and _repeats(words) >= 0.15:
         return "list"
-    if len(items) >= (5 if unreadable else 4) and speech < 0.1 and len(words) <= 5 * len(items) and len(set(map(str.lower, items))) > 1:
+    if len(items) >= 4 and (not unreadable or len(items) >= 5 and _repeats(words) >= 0.15) and speech < 0.1 and len(words) <= 5 * len(items) and len(set(map(str.lower, items))) > 1:
         return "list"
     return "item" if 0 < len(words) <= 6 and speech < 0.2 else "speech"
 
@@ -136,9 +140,9 @@ def spam_share(text: str | None) -> float:
                 items.append((part, cue))
             elif kind != "speech":
                 spam += n
-    # Short items are keywords only where they stand in lists: many to a cue, of few different words.
+    # Short items are keywords only where they stand in lists, many to a cue or of several words, and of few different words.
     per_cue = Counter(c for _, c in items)
-    listed = [p for p, c in items if per_cue[c] >= 4]
+    listed = [p for p, c in items if per_cue[c] >= 4 or not unreadable and len(_words(_SPEAKER.sub("", p))) >= 3]
     words = [w for p in listed for w in _words(p)]
     top = sum(v for _, v in Counter(words).most_common(10))
     if words and top >= (0.75 if unreadable else 0.5) * len(words) and _repeats(words) >= 0.3:
