@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tramline.functions import values
 from tramline.operators import choice, groups, matrix, network, routing, scoring, spatial
 
 E = network.EDGE
@@ -164,3 +165,14 @@ def test_unique_fails_on_repeats(spark):
     assert groups.unique(df, ["k"], "t").count() == 2
     with pytest.raises(Exception, match="occurs more than once"):
         groups.unique(df.union(df), ["k"], "t").count()
+
+
+def test_values(spark):
+    df = spark.createDataFrame([(" 1,234.5 ", "Yes"), ("nan", "예"), ("1e999", "no"), ("x", None), (None, "T ")], "a string, b string")
+    got = [tuple(r) for r in df.select(values.to_float(F.col("a")), values.to_bool(F.col("b"))).collect()]
+    assert got == [(1234.5, True), (None, True), (None, False), (None, False), (None, True)]
+    m = spark.createDataFrame([(600.0,), (1200.0,), (30.0,)], "v double")
+    assert sorted(r.m for r in values.as_minutes(m, "v", "m").collect()) == [0.5, 10.0, 20.0]
+    d = spark.createDataFrame([("20260302",), ("20260310",)], "d string")
+    assert sorted(r.date for r in values.calendar(d, "d", (1, 2)).collect()) == ["20260303", "20260304", "20260310"]
+    assert values.calendar(d.limit(0), "d", (1,)).count() == 0

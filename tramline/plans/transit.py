@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.functions import values
 from tramline.functions.clean import clean_id, clean_route, readable_time, service_day
 from tramline.operators import matrix, trips
 from tramline.operators.groups import first_per
@@ -155,8 +156,21 @@ def duplicate_deliveries(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy("service_date").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("duplicated"))
 
 
+def target_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Tuesdays to Thursdays in the trips' period with trips and passengers, 0 where there are none."""
+    t = table(spark, sf, "purpose_trips")
+    n = t.groupBy(F.col("service_date").alias("date")).agg(F.count_distinct("trip_hash").alias("trips"), F.sum("passengers").alias("passengers"))
+    return values.calendar(t, "service_date", (1, 2, 3)).join(n, "date", "left").na.fill(0, ["trips", "passengers"])
+
+
+def trip_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean riding time by hour after the unit is inferred from the median, and passengers per leg."""
+    t = values.as_minutes(table(spark, sf, "purpose_trips").filter("duration_minutes is not null"), "duration_minutes", "m")
+    return t.groupBy("hour").agg(F.round(F.avg("m"), 6).alias("mean_minutes"), F.round(values.ratio(F.sum("passengers"), F.sum("legs")), 6).alias("passengers_per_leg"))
+
+
 _NAMES = (
-    clean_stops, clean_routes, time_quality, trip_chains, trip_drop_reasons, trip_summary, purpose_od_hourly, od_hourly, od_baseline_zero_inclusive, od_baseline_positive_days, od_compare_hours,
+    target_days, trip_minutes, clean_stops, clean_routes, time_quality, trip_chains, trip_drop_reasons, trip_summary, purpose_od_hourly, od_hourly, od_baseline_zero_inclusive, od_baseline_positive_days, od_compare_hours,
     od_compare_cells, join_qa, od_in_network, stops_used, date_sets, od_wide, od_long, route_loads, duplicate_deliveries,
 )
 
@@ -202,6 +216,8 @@ def _compare(key: str) -> str:
 
 _HOURS = range(24)
 SQL = {
+    "target_days": "WITH d AS (SELECT strftime(unnest(generate_series(min(strptime(service_date,'%Y%m%d')), max(strptime(service_date,'%Y%m%d')), INTERVAL 1 DAY)),'%Y%m%d') AS date FROM purpose_trips), n AS (SELECT service_date AS date, count(DISTINCT trip_hash) AS trips, sum(passengers) AS passengers FROM purpose_trips GROUP BY 1) SELECT date, coalesce(trips,0) AS trips, coalesce(passengers,0) AS passengers FROM d LEFT JOIN n USING (date) WHERE dayofweek(strptime(date,'%Y%m%d')) BETWEEN 2 AND 4",
+    "trip_minutes": "WITH m AS (SELECT quantile_cont(round(duration_minutes,1),0.5) AS md FROM purpose_trips) SELECT hour, round(avg(CASE WHEN md>15 THEN duration_minutes/60 ELSE duration_minutes END),6) AS mean_minutes, round(sum(passengers)/nullif(sum(legs),0),6) AS passengers_per_leg FROM purpose_trips, m WHERE duration_minutes IS NOT NULL GROUP BY hour",
     "clean_stops": f"WITH {_STOPS} SELECT * FROM st",
     "clean_routes": f"SELECT route_id, route_name, route_type, route_distance FROM (SELECT {_RT('route_id')} AS route_id, route_name, route_type, route_distance, row_number() OVER (PARTITION BY {_RT('route_id')} ORDER BY route_name NULLS LAST, route_type NULLS LAST, route_distance NULLS LAST) AS k FROM routes) WHERE k=1 AND route_id IS NOT NULL",
     "time_quality": f"SELECT {_DAY} AS service_date, count(*) AS n_rows, count({_RIDE}) AS ride_ok, count({_ALIGHT}) AS alight_ok FROM legs GROUP BY 1",
