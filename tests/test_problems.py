@@ -128,3 +128,24 @@ def test_intervals_against_brute_force(spark):
     assert {tuple(r) for r in intervals.periods(df, ["k", "d"], "s", "e").collect()} == p
     assert {tuple(r) for r in intervals.gaps(df, ["k", "d"], "s", "e").collect()} == g
     assert intervals.gaps(df.limit(0), ["k", "d"], "s", "e").count() == 0 == intervals.periods(df.limit(0), ["k", "d"], "s", "e").count()
+
+
+def test_orphan_batches_cover_all(spark):
+    """No time of loading, a very long time, or none at all: every reference is probed."""
+    import datetime as dt
+
+    from tramline.plans.problems import _orphan_state
+
+    events = spark.createDataFrame([("a", "", 1), ("b", "20260310", 1), ("c", "20990101", 1)], "key string, from_day string, change long")
+    rows = [("a", "20260301"), ("b", "20260301"), ("b", "20260311"), ("c", "20260301")]
+    for times in ([None] * 4, [None, dt.date(1970, 1, 1), dt.date(2026, 3, 2), dt.date(2099, 1, 1)], [dt.date(2026, 3, 2)] * 4):
+        refs = spark.createDataFrame([(*r, t) for r, t in zip(rows, times, strict=True)], "key string, day string, loaded_on date")
+        s = _orphan_state(refs, events)
+        assert {(r.key, r.day) for r in s.pending().collect()} == {("b", "20260301"), ("c", "20260301")}
+        assert sum(r.n_refs for r in s.snapshot().collect()) == 4
+    assert _orphan_state(refs.limit(0), events).pending().count() == 0
+
+
+def test_hot_keys_with_boundless_measures(spark):
+    df = spark.createDataFrame([("a", 1e300), ("a", float("inf")), ("a", 2.5)], "key string, m double")
+    assert hotkeys.key_totals(df, "t", F.col("key"), F.col("m")).first().total == 2.5

@@ -4,8 +4,8 @@ Each task folds its rows into a hash table of key states (count, sum); Spark bou
 table by its execution memory and spills it sorted. Only these compact states shuffle, so
 a key with a third of all rows sends one state per task like any other key.
 
-Defined cases: rows without an id form one group with a null key; null and NaN measures
-count as rows but add nothing; repeated rows all count; an empty table gives no rows;
+Defined cases: rows without an id form one group with a null key; null, NaN and
+boundless measures count as rows but add nothing; repeated rows all count; an empty table gives no rows;
 other columns, whatever their names, are not read.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 def key_totals(df: DataFrame, name: str, key: Column, measure: Column) -> DataFrame:
     """table_name, key_value, n_rows, total per key; partial states are combined before the shuffle."""
     value = F.when(~F.isnan(measure), measure)
-    rows = df.select(key.alias("key_value"), value.cast("decimal(28,6)").alias("_m"))
-    states = rows.groupBy("key_value").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_m").cast("double").alias("total"))
+    rows = df.select(key.alias("key_value"), value.try_cast("decimal(28,6)").alias("_m"))
+    states = rows.groupBy("key_value").agg(F.count(F.lit(1)).alias("n_rows"), F.try_sum("_m").cast("double").alias("total"))
     return states.select(F.lit(name).alias("table_name"), "key_value", "n_rows", "total")
 
 

@@ -79,24 +79,28 @@ def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return refs.select("trip_hash", "field_name", "key", "day", "loaded_on"), parent_events(stops, F.col("stop"), F.col("a"), F.col("z"))
 
 
-def _orphan_state(refs: DataFrame, events: DataFrame, step_days: int = 31) -> OrphanState:
-    """Batches as they come in: references by the day they were loaded, parent events by the day from which they hold."""
+def _orphan_state(refs: DataFrame, events: DataFrame, step_days: int = 31, most: int = 6) -> OrphanState:
+    """Batches as they come in: references by the day they were loaded, parent events by the day from which they hold.
+
+    A batch spans step_days, or more where the time of loading is so long that there were more than most of them; references without a time of loading come first.
+    """
     lo, hi = refs.agg(F.min("loaded_on"), F.max("loaded_on")).first()
     state = OrphanState(refs.sparkSession)
     if lo is None:
-        return state
-    cut, before, end = lo + dt.timedelta(step_days), None, hi
-    while True:
-        last = cut > end
-        a, z = before, None if last else cut
-        r = refs if a is None else refs.filter(F.col("loaded_on") >= F.lit(a))
-        r = r if z is None else r.filter(F.col("loaded_on") < F.lit(z))
-        e = events if a is None else events.filter(F.col("from_day") >= f"{a:%Y%m%d}")
-        e = e if z is None else e.filter(F.col("from_day") < f"{z:%Y%m%d}")
+        return state.advance(refs.select("key", "day"), events)
+    step = dt.timedelta(max(step_days, -(-((hi - lo).days + 1) // most)))
+    on = F.coalesce("loaded_on", F.lit(lo))
+    cuts = [None]
+    while (cut := (cuts[-1] or lo) + step) <= hi:
+        cuts.append(cut)
+    for a, z in zip(cuts, [*cuts[1:], None], strict=True):
+        r, e = refs, events
+        if a is not None:
+            r, e = r.filter(on >= F.lit(a)), e.filter(F.col("from_day") >= f"{a:%Y%m%d}")
+        if z is not None:
+            r, e = r.filter(on < F.lit(z)), e.filter(F.col("from_day") < f"{z:%Y%m%d}")
         state.advance(r.select("key", "day"), e)
-        if last:
-            return state
-        before, cut = cut, cut + dt.timedelta(step_days)
+    return state
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
