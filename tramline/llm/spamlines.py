@@ -130,6 +130,8 @@ def spam_share(text: str | None) -> float:
         return 0.0
     whole, spam = 0, 0
     unreadable = broken(text)
+    if text.count("?") > 0.2 * len(text):  # letters became question marks: runs of them stand for words
+        text, unreadable = re.sub(r"\?{2,}", lambda m: "x" * len(m[0]), text), True
     items: list[tuple[str, int]] = []
     for line, cue in text_lines(text):
         for part in _parts(line):
