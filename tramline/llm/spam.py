@@ -41,12 +41,14 @@ _EDGE = " \t.,;:!?|•·*♪\"'()[]<>«»-–—…/¿¡"
 def words_of(text: str) -> list[str]:
     """Words of a page in lower case; links, tags and numbers as shapes."""
     out = []
-    for w in _CUE.sub(" ", text).split():
-        if len(w) > 3 and _SITE.search(w):
+    for w in _CUE.sub(" ", text).lower().split():
+        if w.isalpha() and "www" not in w and "href" not in w:
+            out.append(w)
+        elif len(w) > 3 and _SITE.search(w):
             out.append("<link>")
         elif w[0] == "#":
             out.append("<tag>")
-        elif w := w.strip(_EDGE).lower():
+        elif w := w.strip(_EDGE):
             out.append("<number>" if any(map(str.isdigit, w)) else w)
     return out
 

@@ -24,13 +24,15 @@ SPEECH = frozenset(
     그 그걸 그랬어 그리고 기다려 가자 누가 두고 갔지 말해 말이야 사라졌어 아니 안 알았어 없어 여긴 왜 줬어 돼 이 저 것 내 너 나 우리
     """.split()
 )
-_CUE = re.compile(r"-->|^\s*[\[{(]?\d{1,2}:\d\d(?::\d\d)?[.,:]\d{1,3}\b.*\d:\d\d|^\s*\{\d+\}\{\d+\}")
+_CUE = re.compile(r"\s*[\[{(]?\d{1,2}:\d\d(?::\d\d)?[.,:]\d{1,3}\b.*\d:\d\d|\s*\{\d+\}\{\d+\}")
 _MARK = re.compile(r"</?\s*(?:i|b|u|s|font|br|p|span)\b[^>]{0,300}>|\{\\[^}]{0,300}\}", re.I)
 _DOT = r"(?:\.|,|\s\.\s|\s?[\[({]\s?\.\s?[\])}]\s?|\s[\[(]?dot[\])]?\s|\[dot\]|\(dot\))"
 _TLD = r"(?:t[ec]st|[ilí1]nva[ilíI1][ilíI1]d|[ec]xamp[ilI1][ec]|com|net|org|info)"
 #: Bare domains, also with the dot spelled out, and whatever begins as an address.
 _URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:?\s?//\s?|\bwww\s?{_DOT}?)[^\s<>\"\])]{{0,500}}(?:{_DOT}[^\s<>\"\])]{{1,500}}){{0,9}}|(?<![\w-])[\w-]{{1,63}}{_DOT}{_TLD}\b(?![\w.])(?:/[^\s<>\"\])]{{0,500}})?", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]{1,500}>|\[url[^\]]{0,500}\]|\[[^\]\[]{0,200}\]\([^)]{1,500}", re.I)
+#: Without this no address is in a line; it costs far less than the search for one.
+_MAYBE = re.compile(rf"//|www|\[|<a|{_DOT}{_TLD}\b", re.I)
 _HASHTAG = re.compile(r"#[^\s\d#.,!?][^ \t#]*")
 _GOODS = re.compile(r"\d[.,][\dOol]{2}\s?(?:€|\$|£|₩|USD|EUR|GBP|KRW|â‚¬|\S{1,6}$)|\bSKU\b|\b\d+\s?GB\b|-\s?\d+\s?%", re.I)
 _SPLIT = re.compile(r"[;•|·,!?.]{1,8}\s|\s[/\-–—|»«]\s|[;•|·]")
@@ -51,7 +53,7 @@ def text_lines(text: str) -> list[tuple[str, int]]:
         bare = line.strip("ï»¿ ")
         if not line or bare == "WEBVTT":
             continue
-        if "-->" in line or _CUE.search(line):
+        if "-->" in line or (":" in line or line[0] == "{") and _CUE.match(line):
             cue += 1
             continue
         if bare.isdigit() or not (any(map(str.isalnum, bare)) or "\ufffd" in bare):
@@ -84,6 +86,8 @@ def _link(line: str) -> bool:
 
 def _parts(line: str) -> list[str]:
     """Two speakers' sentences put into one line count apiece."""
+    if "/" not in line and "<br" not in line:
+        return [line]
     parts = re.split(r"\s/\s|<br\s*/?>", line)
     return parts if 1 < len(parts) <= 3 else [line]
 
@@ -103,16 +107,18 @@ def classify(line: str, unreadable: bool = False) -> str:
 
     unreadable: a list then needs twice the words, as the words of speech don't tell.
     """
-    if _link(line):
+    if _MAYBE.search(line) and _link(line):
         return "link"
-    tags = _HASHTAG.findall(line)
+    tags = _HASHTAG.findall(line) if "#" in line else ()
     if len(tags) >= 2 and sum(map(len, tags)) > 0.6 * len(line.replace(" ", "")):
         return "tags"
-    plain = _MARK.sub(" ", line)
+    plain = _MARK.sub(" ", line) if "<" in line or "{" in line else line
     bare = _SPEAKER.sub("", plain)
     words = _words(bare)
     speech = _speech(words)
-    if _GOODS.search(plain) and speech < 0.2 and len(words) >= 3:
+    if speech >= 0.2:
+        return "speech"
+    if len(words) >= 3 and _GOODS.search(plain):
         return "goods"
     if any(m in line for m in _MUSIC) or _SOUND.search(bare):
         return "speech"
@@ -121,7 +127,7 @@ def classify(line: str, unreadable: bool = False) -> str:
         return "list"
     if len(items) >= 4 and (not unreadable or len(items) >= 5 and _repeats(words) >= 0.15) and speech < 0.1 and len(words) <= 5 * len(items) and len(set(map(str.lower, items))) > 1:
         return "list"
-    return "item" if 0 < len(words) <= 6 and speech < 0.2 else "speech"
+    return "item" if 0 < len(words) <= 6 else "speech"
 
 
 def spam_share(text: str | None) -> float:
