@@ -45,3 +45,16 @@ def test_found_on_spark(spark):
     got = {r.doc_id for r in spam.checked(df, flags).collect()}
     assert got == {*range(1000, 1006), *range(2000, 2004), 3004}
     assert spam.checked(df.limit(0), spam.flagged(df.limit(0))).count() == 0
+
+
+def test_norm_is_prose(spark):
+    """Nine tenths of a cell are copies of one spam page, and a length has no prose at all."""
+    rng = random.Random(3)
+    talk = lambda n: page([f"I never wanted to {rng.choice(['sell', 'find', 'open'])} the {rng.choice('ship lamp river key garden'.split())} before {rng.choice(['sunset', 'we go'])}." for _ in range(n)])
+    junk = lambda n: page(["; ".join(rng.choice(["cheap shoes", "fast loan", "cheap shoes Tanor"]) for _ in range(7)) for _ in range(n)])
+    rows = [(i, talk(30), "xx") for i in range(40)] + [(1000 + i, t, "xx") for t in [junk(20)] for i in range(360)] + [(2000 + i, t, "xx") for t in [junk(90)] for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spammed = {*range(1000, 1360), *range(2000, 2040)}
+    flags = spam.flagged(df)
+    assert spammed <= {r.doc_id for r in flags.collect()}
+    assert {r.doc_id for r in spam.checked(df, flags).collect()} == spammed == {r.doc_id for r in spam.checked(df).collect()}

@@ -43,8 +43,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return spam.checked(docs, spam.flagged(docs)).select("doc_id")
+    return spam.checked(table(spark, sf, "documents")).select("doc_id")
 
 
 def p9_curves(spark: SparkSession, sf: str) -> DataFrame:

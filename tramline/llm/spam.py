@@ -4,12 +4,14 @@ A page's words, with links, tags and numbers brought to their shapes, give its f
 spectrum (how many words occur f times). SQL windows turn spectra into ranks, and a
 weighted line through log rank and log frequency gives slope and residual. The mass in
 the first ranks is held against that of prose of the same language and comparable length.
-Pages whose slope, residual or divergence is extreme, or that are too short to fit, are
-flagged. An exact check of the flagged pages' lines decides: more than half of the
+Prose is what the exact check of a page's lines does not call spam, each distinct curve
+once, so that neither spam nor copies make the norm. Pages whose slope, residual or
+divergence is extreme, that are too short to fit or for whose length there is no prose are
+flagged. The exact check decides on every page, flagged or not: more than half of the
 characters are keywords, links or product tags.
 
 Defined cases: null, empty and blank texts are never spam; a null or unknown language is
-a language of its own, and a cell of language and length with few pages borrows the
+a language of its own, and a cell of language and length with little prose borrows the
 length's; equal frequencies share their mean rank; copies are judged alike; very long
 texts are read whole; an empty table gives no rows; other columns are not read.
 """
@@ -29,9 +31,9 @@ from tramline.session import checkpointed
 
 #: Ranks up to which the mass of the most frequent words is compared.
 CUTS = (1, 2, 4, 8, 16, 32, 64)
-#: Pages with fewer words have no curve; cells with fewer pages no norm of their own.
+#: Pages with fewer words have no curve; cells with fewer distinct curves of prose no norm of their own.
 MIN_WORDS, MIN_PAGES = 64, 30
-#: Robust deviations from the norm beyond which a curve is set apart; wide enough to keep mixed pages for the exact check.
+#: Robust deviations from the norm beyond which a curve is set apart.
 FAR = 1.0
 _CUE = re.compile(r"^.*-->.*$|^[ \t]*\d+[ \t]*$", re.M)
 _SITE = re.compile(r"\w[.,\])]{1,3}\w{1,63}/|//|www|\[url|href|\]\(", re.I)
@@ -54,39 +56,40 @@ def words_of(text: str) -> list[str]:
 
 
 def spectra(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """key, lang, n_words, spectrum (freq, n_at) of every page with words."""
+    """key, lang, n_words, share of spam and spectrum (freq, n_at) of every page with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total, spectrum = [], []
+            total, share, spectrum = [], [], []
             for t in b.column(2).to_pylist():
+                share.append(spam_share(t))
                 counts = Counter(words_of(t)).values() if t else ()
                 total.append(sum(counts))
                 spectrum.append([{"freq": f, "n_at": n} for f, n in Counter(counts).items()])
             kind = pa.list_(pa.struct([("freq", pa.int32()), ("n_at", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int32()), pa.array(spectrum, kind)], [key, "lang", "n_words", "spectrum"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int32()), pa.array(share, pa.float64()), pa.array(spectrum, kind)], [key, "lang", "n_words", "share", "spectrum"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, lang string, n_words int, spectrum array<struct<freq:int,n_at:int>>").filter("n_words > 0")
+    return rows.mapInArrow(run, f"`{key}` {kind}, lang string, n_words int, share double, spectrum array<struct<freq:int,n_at:int>>").filter("n_words > 0")
 
 
 def curves(pages: DataFrame, key: str) -> DataFrame:
-    """key, lang, size (log2 of the words), slope, residual and the mass in the first ranks of each page's curve."""
-    runs = pages.select(key, "lang", "n_words", F.explode("spectrum").alias("s")).select(key, "lang", "n_words", "s.freq", "s.n_at")
+    """key, lang, share, size (log2 of the words), slope, residual and the mass in the first ranks of each page's curve."""
+    runs = pages.select(key, "lang", "n_words", "share", F.explode("spectrum").alias("s")).select(key, "lang", "n_words", "share", "s.freq", "s.n_at")
     upto = F.sum("n_at").over(Window.partitionBy(key).orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, 0))
     runs = runs.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n_at"))
     x, y, w = F.log((F.col("lo") + 1 + F.col("hi")) / 2.0), F.log("freq"), F.col("n_at")
     mass = [F.sum(F.col("freq") * F.least(F.greatest(F.lit(c) - F.col("lo"), F.lit(0)), F.col("n_at"))).alias(f"c{c}") for c in CUTS]
     sums = runs.groupBy(key).agg(
-        F.first("lang").alias("lang"), F.first("n_words").alias("n_words"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"),
+        F.first("lang").alias("lang"), F.first("n_words").alias("n_words"), F.first("share").alias("share"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"),
         F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"), *mass,
     )
     sxx, sxy, syy = (F.col(a) - F.col(b) * F.col(c) / F.col("w") for a, b, c in (("wxx", "wx", "wx"), ("wxy", "wx", "wy"), ("wyy", "wy", "wy")))
     slope = F.when(sxx > 1e-9, sxy / sxx).otherwise(0.0)
     fit = sums.withColumn("slope", slope).withColumn("residual", F.sqrt(F.greatest(syy - F.col("slope") * sxy, F.lit(0.0)) / F.col("w")))
     parts = [(F.col(f"c{c}") - (F.col(f"c{b}") if b else 0)) / F.col("n_words") for b, c in zip((0, *CUTS), CUTS, strict=False)]
-    return fit.select(key, "lang", "n_words", F.floor(F.log2("n_words")).cast("int").alias("size"), "slope", "residual", F.array(*parts, 1 - F.col(f"c{CUTS[-1]}") / F.col("n_words")).alias("mass"))
+    return fit.select(key, "lang", "n_words", "share", F.floor(F.log2("n_words")).cast("int").alias("size"), "slope", "residual", F.array(*parts, 1 - F.col(f"c{CUTS[-1]}") / F.col("n_words")).alias("mass"))
 
 
 def _norms(fits: DataFrame, by: list[str]) -> DataFrame:
@@ -97,35 +100,37 @@ def _norms(fits: DataFrame, by: list[str]) -> DataFrame:
 
 
 def deviations(fits: DataFrame, key: str) -> DataFrame:
-    """key, n_words, and by how many spreads slope, residual and divergence are off the norm of language and length."""
+    """key, n_words, and by how many spreads slope, residual and divergence are off the norm of language and length; null without a norm."""
     bands = [f"q{i}" for i in range(len(CUTS) + 1)]
+    prose = fits.filter("share <= 0.5").dropDuplicates(["lang", "n_words", "slope", "residual", "mass"])
     # Cells are languages times binary orders of length: a few hundred rows.
-    own = _norms(fits, ["lang", "size"]).filter(F.col("pages") >= MIN_PAGES)
-    every = _norms(fits, ["size"])
+    own, every = (_norms(prose, by).filter(F.col("pages") >= MIN_PAGES) for by in (["lang", "size"], ["size"]))
     pack = lambda df, name: df.select(*[c for c in ("lang", "size") if c in df.columns], F.struct("slopes", "residuals", *bands).alias(name))
     a, b = pack(own, "own"), pack(every, "every")
     a = a.withColumnsRenamed({"lang": "_lang", "size": "_size"})
-    f = fits.join(F.broadcast(a), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("size") == F.col("_size")), "left").join(F.broadcast(b), "size")
+    f = fits.join(F.broadcast(a), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("size") == F.col("_size")), "left").join(F.broadcast(b), "size", "left")
     f = f.withColumn("norm", F.coalesce("own", "every"))
     off = lambda c, s: (F.col(c) - F.col(f"norm.{s}")[1]) / F.greatest((F.col(f"norm.{s}")[2] - F.col(f"norm.{s}")[0]) / 2, F.lit(1e-3))
     kl = sum((F.greatest(F.col("mass")[i], F.lit(1e-4)) * F.log(F.greatest(F.col("mass")[i], F.lit(1e-4)) / F.greatest(F.col(f"norm.q{i}"), F.lit(1e-4))) for i in range(len(bands))), F.lit(0.0))
-    f = f.select(key, "lang", "size", "n_words", off("slope", "slopes").alias("slope_off"), off("residual", "residuals").alias("residual_off"), kl.alias("divergence"))
-    spread = f.groupBy("size").agg(F.percentile_approx("divergence", F.array(F.lit(0.5), F.lit(0.84)), 1000).alias("_d"))
-    f = f.join(F.broadcast(spread), "size")
-    return f.withColumn("divergence_off", (F.col("divergence") - F.col("_d")[0]) / F.greatest(F.col("_d")[1] - F.col("_d")[0], F.lit(1e-3))).drop("_d", "size")
+    f = f.select(key, "lang", "size", "n_words", "share", off("slope", "slopes").alias("slope_off"), off("residual", "residuals").alias("residual_off"), F.when(F.col("norm").isNotNull(), kl).alias("divergence"))
+    spread = f.filter("share <= 0.5").groupBy("size").agg(F.percentile_approx("divergence", F.array(F.lit(0.5), F.lit(0.84)), 1000).alias("_d"))
+    f = f.join(F.broadcast(spread), "size", "left")
+    return f.withColumn("divergence_off", (F.col("divergence") - F.col("_d")[0]) / F.greatest(F.col("_d")[1] - F.col("_d")[0], F.lit(1e-3))).drop("_d", "size", "share")
 
 
 def flagged(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", far: float = FAR) -> DataFrame:
-    """Pages with an extreme curve, or too short for one: key, n_words and the deviations."""
+    """Pages with an extreme curve, too short for one or without a norm: key, n_words and the deviations."""
     fits = checkpointed(curves(spectra(df, key, text, lang), key))
     d = deviations(fits, key)
     extreme = (F.abs("slope_off") > far) | (F.abs("residual_off") > far) | (F.col("divergence_off") > far)
-    return d.filter((F.col("n_words") < MIN_WORDS) | extreme)
+    return d.filter((F.col("n_words") < MIN_WORDS) | F.col("divergence").isNull() | extreme)
 
 
-def checked(df: DataFrame, flags: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and share of the flagged pages of which more than half are keywords, links or product tags."""
-    pages = df.select(key, F.col(text).cast("string").alias("__text")).join(flags.select(key), key, "left_semi")
+def checked(df: DataFrame, flags: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and share of the pages, or of the flagged ones, of which more than half are keywords, links or product tags."""
+    pages = df.select(key, F.col(text).cast("string").alias("__text"))
+    if flags is not None:
+        pages = pages.join(flags.select(key), key, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
