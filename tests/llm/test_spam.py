@@ -31,6 +31,24 @@ def test_shares():
     assert spam_share("x" * 2_000_000) == 0.0
 
 
+def _names(n, rng):
+    return ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(n)]
+
+
+def test_lists_of_many_words():
+    """A list stays a list with more different words."""
+    rng = random.Random(9)
+    for n in (12, 40, 400):
+        words = sorted(set(_names(n, rng)))
+        phrases = [" ".join(rng.sample(words, rng.randint(2, 5))) for _ in range(max(60, n))]
+        assert spam_share("\n".join(phrases)) > 0.9 < spam_share(page(phrases)), n
+        if n > 12:
+            assert spam_share("\n".join(words)) > 0.9 < spam_share(page(words)), n
+    talk = [x for w in _names(40, rng) for x in (f"Open the {w}.", f"{w.title()}, quick!", f"- {w} soup", f"we lost {w}")]
+    assert spam_share(page(talk)) < 0.1
+    assert spam_share(page(["window", "window", "roof", "roof roof", "window", "curtain window"] * 9)) < 0.1
+
+
 def test_found_on_spark(spark):
     rng = random.Random(6)
     nouns = "ship lamp river key garden train map coat door mill".split()

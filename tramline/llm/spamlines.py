@@ -38,6 +38,9 @@ _GOODS = re.compile(r"\d[.,][\dOol]{2}\s?(?:€|\$|£|₩|USD|EUR|GBP|KRW|â‚
 _SPLIT = re.compile(r"[;•|·,!?.]{1,8}\s|\s[/\-–—|»«]\s|[;•|·]")
 #: What a wrong encoding leaves of letters. All patterns here are bounded, so that long lines cost in proportion.
 _LEFT = re.compile("[\x80-\u02ff\ufffd\u2000-\u25ff]+")
+#: So many lines in a row without speech or a sentence's end are a list, whatever their words.
+_RUN = 8
+_ENDS = re.compile(r"[.!?…。][\"'»”)\]\s]*$|^\s*[-–—]")
 _STRIP = " \t.,;:!?|•·*♪♫\"'()[]<>«»„“”-–—…/¿¡#"
 _MUSIC = ("♪", "♫", "â™ª", "â\x99ª", "âª", "Ã¢Â\x99Âª", "Ã¢Â™Âª", "в™Є", "ΓÖ¬", "¢Ü")
 #: A speaker's name before the words; lyrics whose notes became other signs, and sounds.
@@ -130,6 +133,17 @@ def classify(line: str, unreadable: bool = False) -> str:
     return "item" if 0 < len(words) <= 6 else "speech"
 
 
+def _in_list(part: str) -> bool:
+    """True if a short item has no word of speech and neither ends nor begins like a spoken line."""
+    return not _ENDS.search(part) and not any(w in SPEECH for w in _words(part))
+
+
+def _is_list(run: list[str]) -> bool:
+    """Whether items in a row are a list: several words apiece, or different single words, so that called or echoed words are none."""
+    words = [w for p in run for w in _words(p)]
+    return len(run) >= _RUN and (len(words) >= 2 * len(run) and len(set(run)) > 0.5 * len(run) or _repeats(words) < 0.1)
+
+
 def spam_share(text: str | None) -> float:
     """Share of the text's characters, cue numbers and times aside, in lines of keywords, links or product tags."""
     if not text:
@@ -139,20 +153,30 @@ def spam_share(text: str | None) -> float:
     if text.count("?") > 0.2 * len(text):  # letters became question marks: runs of them stand for words
         text, unreadable = re.sub(r"\?{2,}", lambda m: "x" * len(m[0]), text), True
     items: list[tuple[str, int]] = []
+    runs: list[list[int]] = [[]]  # places in items of those that follow each other without a line of speech
     for line, cue in text_lines(text):
         for part in _parts(line):
             n = len(part)
             whole += n
             kind = classify(part, unreadable)
             if kind == "item":
+                if unreadable or not _in_list(part):
+                    runs.append([])
+                else:
+                    runs[-1].append(len(items))
                 items.append((part, cue))
             elif kind != "speech":
                 spam += n
-    # Short items are keywords only where they stand in lists, many to a cue or of several words, and of few different words.
+            else:
+                runs.append([])
+    # Short items are keywords only where they stand in lists: many in a row,
+    listed = {i for run in runs if _is_list([items[i][0] for i in run]) for i in run}
+    # or many to a cue or of several words, and of few different words.
     per_cue = Counter(c for _, c in items)
-    listed = [p for p, c in items if per_cue[c] >= 4 or not unreadable and len(_words(_SPEAKER.sub("", p))) >= 3]
-    words = [w for p in listed for w in _words(p)]
+    few = [i for i, (p, c) in enumerate(items) if per_cue[c] >= 4 or not unreadable and len(_words(_SPEAKER.sub("", p))) >= 3]
+    words = [w for i in few for w in _words(items[i][0])]
     top = sum(v for _, v in Counter(words).most_common(10))
     if words and top >= (0.75 if unreadable else 0.5) * len(words) and _repeats(words) >= 0.3:
-        spam += sum(map(len, listed))
+        listed.update(few)
+    spam += sum(len(items[i][0]) for i in listed)
     return spam / whole if whole else 0.0
