@@ -49,6 +49,15 @@ def test_lists_of_many_words():
     assert spam_share(page(["window", "window", "roof", "roof roof", "window", "curtain window"] * 9)) < 0.1
 
 
+def test_bare_domains():
+    """Addresses are known by their structure, whatever the last label."""
+    for site in ("shop.de", "x.ru", "y.co.kr", "z.io", "SHOP.DE", "flimra.exarnple", "quarnet.invahd", "pelmor.exarnpIe", "lampen-24.shop/p/1", "cheap shoes: a1.es", "a.fr | b.pl | c.co.uk"):
+        assert classify(site) == "link", site
+    assert spam_share(page([f"{w}.{t}" for i, w in enumerate(_names(60, random.Random(1))) for t in [("de", "ru", "co.kr", "io")[i % 4]]])) == 1.0
+    for speech in ("Wait.What is it?", "Hola.que tal", "no.no", "Mr.Smith", "at 5 p.m.", "3.5kg", "Ph.D", "Wait... what", "z.B. morgen", "Tanor, shop.de?", "We met them on shop.de last year", "The site is called shop.de"):
+        assert classify(speech) != "link", speech
+
+
 def test_found_on_spark(spark):
     rng = random.Random(6)
     nouns = "ship lamp river key garden train map coat door mill".split()

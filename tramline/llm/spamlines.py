@@ -30,9 +30,11 @@ _DOT = r"(?:\.|,|\s\.\s|\s?[\[({]\s?\.\s?[\])}]\s?|\s[\[(]?dot[\])]?\s|\[dot\]|\
 _TLD = r"(?:t[ec]st|[ilí1]nva[ilíI1][ilíI1]d|[ec]xamp[ilI1][ec]|com|net|org|info)"
 #: Bare domains, also with the dot spelled out, and whatever begins as an address.
 _URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:?\s?//\s?|\bwww\s?{_DOT}?)[^\s<>\"\])]{{0,500}}(?:{_DOT}[^\s<>\"\])]{{1,500}}){{0,9}}|(?<![\w-])[\w-]{{1,63}}{_DOT}{_TLD}\b(?![\w.])(?:/[^\s<>\"\])]{{0,500}})?", re.I)
+#: Bare domains by their structure, with any last label, where a blank, slash, separator or nothing follows.
+_BARE = re.compile(r"(?<![\w.@-])((?:[\w-]{1,63}\.){1,4})([a-zа-яё가-힣][A-Za-zА-яЁё가-힣]{1,23}|[A-Z]{2,24})(?=[\s/,;|)\]>\"»]|$)(?:/[^\s<>\"\])]{0,500})?")
 _ANCHOR = re.compile(r"<a\s[^>]{1,500}>|\[url[^\]]{0,500}\]|\[[^\]\[]{0,200}\]\([^)]{1,500}", re.I)
 #: Without this no address is in a line; it costs far less than the search for one.
-_MAYBE = re.compile(rf"//|www|\[|<a|{_DOT}{_TLD}\b", re.I)
+_MAYBE = re.compile(rf"//|www|\[|<a|{_DOT}{_TLD}\b|\w\.[^\W\d_]{{2}}", re.I)
 _HASHTAG = re.compile(r"#[^\s\d#.,!?][^ \t#]*")
 _GOODS = re.compile(r"\d[.,][\dOol]{2}\s?(?:€|\$|£|₩|USD|EUR|GBP|KRW|â‚¬|\S{1,6}$)|\bSKU\b|\b\d+\s?GB\b|-\s?\d+\s?%", re.I)
 _SPLIT = re.compile(r"[;•|·,!?.]{1,8}\s|\s[/\-–—|»«]\s|[;•|·]")
@@ -73,13 +75,26 @@ def _speech(words: list[str]) -> float:
     return sum(w in SPEECH for w in words) / len(words) if words else 0.0
 
 
+def _site(m: re.Match) -> bool:
+    """False where a blank is missing after a sentence, as words of speech on both sides or a longer one after the dot tell."""
+    before, last = m[1].lower().split(".")[-2], m[2].lower()
+    return any(map(str.isalpha, before)) and not (last in SPEECH and (len(last) > 2 or before in SPEECH))
+
+
 def _link(line: str) -> bool:
     """A list entry with a link, not speech or a credit that names a site."""
     if _ANCHOR.search(line):
         return True
-    if not (found := _URL.findall(line)):
+    found = _URL.findall(line)
+    rest = _URL.sub(" ", line)
+    if "." in rest:
+        bare = [m for m in _BARE.finditer(rest) if _site(m)]
+        found += [m[0] for m in bare]
+        for m in reversed(bare):
+            rest = f"{rest[: m.start()]} {rest[m.end() :]}"
+    if not found:
         return False
-    rest = _words(_URL.sub(" ", line))
+    rest = _words(rest)
     if len(found) > 1 and len(rest) <= 3 * len(found):
         return True
     if line.rstrip("♪ </i>").endswith("?") and "//" not in line and len(rest) <= 2:
