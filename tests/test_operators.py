@@ -160,6 +160,47 @@ def test_candidate_paths_are_exhaustive(spark):
         assert got.get((o, d), {}) == pytest.approx(_search(legs, walks, o, d), abs=1e-5)
 
 
+def _paths(legs, walks, origin, destination, limit):
+    """The limit best (score, signature) by trying all."""
+    out = []
+
+    def go(at, routes, sig, score):
+        for (a, b), metres in walks.items():
+            if a != at or b == destination:
+                continue
+            for r, board, alight, minutes, wait in legs:
+                if board != b or r in routes or alight == origin:
+                    continue
+                now = score + metres / (4000 / 60) + (4 if routes else 0) + minutes + wait
+                to = [*sig, f"{r}|{board}|{alight}"]
+                if (alight, destination) in walks:
+                    out.append((round(now + walks[alight, destination] / (4000 / 60), 4), ";".join(to)))
+                if alight != destination and len(routes) < 2:
+                    go(alight, [*routes, r], to, now)
+
+    go(origin, [], [], 0.0)
+    return sorted(out)[:limit]
+
+
+def test_generated_paths_are_the_best_of_all(spark):
+    rng = random.Random(5)
+    stops = "abcdefg"
+    legs = [(r, *x, rng.randint(1, 9_000) / 100, {"r1": 3.0, "r2": 7.5}.get(r, 1.25)) for r, *x in {(f"r{rng.randint(1, 7)}", *rng.sample(stops, 2)): None for _ in range(60)}]
+    # Five routes from o to x and a sixth on to d: five paths, of which four labels at x keep four. From y one walks to o first.
+    legs += [(f"s{i}", "o", "x", float(i), 1.0) for i in range(1, 6)] + [("s6", "x", "d", 5.0, 2.0)]
+    walks = {(s, s): 0.0 for s in stops + "oxy"} | {("b", "c"): 100.0, ("c", "b"): 100.0, ("e", "f"): 240.0, ("y", "o"): 150.0}
+    ldf = spark.createDataFrame([(7, *x) for x in legs], "hour int, route_id string, board string, alight string, minutes double, wait double")
+    wdf = spark.createDataFrame([(a, b, m) for (a, b), m in walks.items()], "from_stop_id string, to_stop_id string, distance_m double")
+    ods = [(7, o, d) for o in stops + "oy" for d in stops if o != d]
+    got = {}
+    for r in routing.generated_paths(spark.createDataFrame(ods, "hour int, origin string, destination string"), ldf, wdf).orderBy("rank").collect():
+        got.setdefault((r.origin, r.destination), []).append((round(r.score, 4), r.signature))
+    for _, o, d in ods:
+        assert got.get((o, d), []) == _paths(legs, walks, o, d, 15)
+    assert sum(s.endswith(";s6|x|d") and s.count(";") == 1 for _, s in got["o", "d"]) == 5
+    assert any(s.startswith("s1|o|x") for _, s in got["y", "d"])
+
+
 def test_unique_fails_on_repeats(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert groups.unique(df, ["k"], "t").count() == 2

@@ -84,3 +84,33 @@ def candidate_paths(ods: DataFrame, legs: DataFrame, walks: DataFrame, limit: in
         state = step.select("hour", "origin", "destination", F.col("alight").alias("at"), F.array_append("routes", F.col("route_id")).alias("routes"), F.concat_ws(";", "signature", token).alias("signature"), score.alias("score"))
     best = first_per(done, ["hour", "origin", "destination", "signature"], [F.col("score"), F.col("transfers")])
     return top(best, ["hour", "origin", "destination"], [F.col("score"), F.col("signature")], limit)
+
+
+def generated_paths(ods: DataFrame, legs: DataFrame, walks: DataFrame, limit: int = 15, penalty: float = 4.0, km_h: float = 4.0) -> DataFrame:
+    """hour, origin, destination, signature, transfers, score, rank: exactly the limit best of all paths with up to two transfers.
+
+    Score is the wait and minutes of legs, all walking (to the first stop, between legs, from the last stop) and a penalty per transfer;
+    no route is used twice. What may follow a partial path depends on its OD, stop and set of routes alone, so of those that share
+    these the limit best suffice. Scores are summed as whole millionths, so that no rounding reorders them.
+    """
+    whole = lambda c: F.round(c * 1e6).cast("long")
+    ods = ods.select("hour", "origin", "destination").distinct()
+    leg = legs.select("hour", "route_id", "board", "alight", whole(F.col("minutes") + F.col("wait")).alias("__leg"))
+    walk = walks.select("from_stop_id", "to_stop_id", whole(F.col("distance_m") / (km_h * 1000 / 60)).alias("__walk"))
+    out_of, into = walk.withColumnsRenamed({"from_stop_id": "at", "to_stop_id": "board"}), walk.withColumnsRenamed({"from_stop_id": "alight", "to_stop_id": "destination"})
+    ends = ods.select("hour", "destination").distinct().join(into, "destination").join(leg, ["hour", "alight"])
+    ends = ends.select("hour", "destination", "board", "route_id", "alight", (F.col("__leg") + F.col("__walk")).alias("__leg"))
+    near_end = ends.select("hour", "destination", "board").distinct().join(out_of, "board").select("hour", "destination", "at").distinct()
+    key, state, done = ["hour", "origin", "destination"], ods.select("*", F.col("origin").alias("at"), F.array().cast("array<string>").alias("routes"), F.lit("").alias("signature"), F.lit(0).cast("long").alias("score")), None
+    token = F.concat_ws("|", "route_id", "board", "alight")
+    for n in range(3):
+        on = state.join(out_of, "at").filter("board <> destination").drop("at").withColumn("score", F.col("score") + F.col("__walk") + (round(penalty * 1e6) if n else 0)).drop("__walk")
+        ridden = lambda rides, by: on.join(rides, by).filter(~F.array_contains("routes", F.col("route_id")) & (F.col("alight") != F.col("origin"))).select(*key, F.col("alight").alias("at"), F.array_sort(F.array_append("routes", F.col("route_id"))).alias("routes"), (F.concat_ws(";", "signature", token) if n else token).alias("signature"), (F.col("score") + F.col("__leg")).alias("score"))  # noqa: B023, E731
+        arrived = ridden(ends, ["hour", "destination", "board"]).select(*key, "signature", F.lit(n).alias("transfers"), "score")
+        done = arrived if done is None else done.unionByName(arrived)
+        if n < 2:
+            step = ridden(leg, ["hour", "board"]).filter("at <> destination")
+            if n == 1:
+                step = step.join(near_end, ["hour", "destination", "at"], "left_semi")
+            state = top(step, [*key, "at", "routes"], [F.col("score"), F.col("signature")], limit, "__k").drop("__k")
+    return top(done, key, [F.col("score"), F.col("signature")], limit).withColumn("score", F.round(F.col("score") / 1e6, 6))

@@ -100,6 +100,16 @@ def candidate_paths(spark: SparkSession, sf: str) -> DataFrame:
     return routing.candidate_paths(_ods(spark, sf), _best_legs(spark, sf), walk_links(spark, sf))
 
 
+def candidate_paths_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of all paths, with walks at both ends and waits; candidate_paths keeps the four labels of its SQL.
+
+    A route's wait at a stop is the shortest of its edges from there.
+    """
+    waits = choice.edge_state(spark, sf).groupBy("hour", "route_id", F.col("from_stop_id").alias("board")).agg(F.min("wait").alias("wait"))
+    legs = checkpointed(_best_legs(spark, sf).join(waits, ["hour", "route_id", "board"], "left").na.fill(0.0, ["wait"]))
+    return routing.generated_paths(_ods(spark, sf), legs, walk_links(spark, sf))
+
+
 def observed_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Trips by hour, stops and route pattern, the passengers of the first two thirds of the days apart, and whether every leg is on the network."""
     t = table(spark, sf, "purpose_trips").select("trip_hash", "service_date", "hour", clean_id("origin_stop_id").alias("origin"), clean_id("destination_stop_id").alias("destination"), "route_chain", "transfer_stop_chain", F.coalesce("passengers", F.lit(0.0)).alias("passengers"))
@@ -122,7 +132,7 @@ def observed_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy(reason.alias("outcome"), "transfers").agg(F.count(F.lit(1)).alias("patterns"), F.sum("train").alias("train"), F.sum("whole").alias("whole"))
 
 
-_NAMES = (walk_links, walk_degrees, path_legs, path_prefix_sums, best_route_legs, edge_distances, route_next_stops, transfer_options, access_options, reachability, candidate_paths, observed_patterns)
+_NAMES = (walk_links, walk_degrees, path_legs, path_prefix_sums, best_route_legs, edge_distances, route_next_stops, transfer_options, access_options, reachability, candidate_paths, candidate_paths_whole, observed_patterns)
 
 
 def queries() -> dict:
