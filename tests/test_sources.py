@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 
+from tramline.plans import stream
 from tramline.sources import files, paged, sinks
 from tramline.streaming.sessions import OrphanStream, run_to_table, sessions
 
@@ -106,3 +107,12 @@ def test_streams(spark, tmp_path):
     s.parents(spark.createDataFrame([("a", "", 1)], "key string, from_day string, change long"))
     s.run(spark.readStream.schema(refs.schema).parquet(str(tmp_path / "refs")), str(tmp_path / "w"))
     assert [(r.key, r.n_refs) for r in s.state.pending().collect()] == [("b", 1)]
+
+
+def test_stream_gives_all_sessions(spark, sf, tmp_path):
+    """The stream ends with the sessions of the table, in one file or in many that are not in the order of time."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(60, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    for at in (sf, str(tmp_path)):
+        want, got = (sorted(map(str, f(spark, at).collect())) for f in (stream.user_sessions, stream.user_sessions_stream))
+        assert got == want
