@@ -116,3 +116,12 @@ def test_stream_gives_all_sessions(spark, sf, tmp_path):
     for at in (sf, str(tmp_path)):
         want, got = (sorted(map(str, f(spark, at).collect())) for f in (stream.user_sessions, stream.user_sessions_stream))
         assert got == want
+
+
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    """The first letter beyond ASCII stands after the bytes by which the delimiter is found."""
+    rows = "".join(f"{i};morning\n" for i in range(30_000))
+    for name, encoding in (("a.csv", "cp949"), ("b.csv", "utf-8"), ("c.csv", "latin-1")):
+        (tmp_path / name).write_bytes(f"card_id;RIDE_DTM\n{rows}9;{'é' if encoding == 'latin-1' else '아침'}\n".encode(encoding))
+    df = files.read_delimited(spark, str(tmp_path), ALIASES, ["card_id", "ride"])
+    assert {r.member: r.ride for r in df.filter("ride <> 'morning'").collect()} == {"a.csv": "아침", "b.csv": "아침", "c.csv": "é"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import gzip
 import io
@@ -38,12 +39,12 @@ def resolve_headers(headers: list[str], aliases: dict[str, list[str]]) -> dict[s
     return out
 
 
-def sniff(head: bytes) -> tuple[str, str, list[str]]:
-    """(encoding, delimiter, header) from the first bytes of a file; the encoding is the first that reads them."""
+def sniff(head: bytes, known: str | None = None) -> tuple[str, str, list[str]]:
+    """(encoding, delimiter, header) from the first bytes of a file; the encoding is the first that reads them, if not known."""
     cut = head.rsplit(b"\n", 1)[0] if len(head) >= SNIFF_BYTES else head
-    for encoding in ENCODINGS:
+    for encoding in (known,) if known else ENCODINGS:
         try:
-            text = cut.decode(encoding)
+            text = cut.decode(encoding, "replace" if known else "strict")
             break
         except UnicodeDecodeError:
             continue
@@ -52,6 +53,21 @@ def sniff(head: bytes) -> tuple[str, str, list[str]]:
     return encoding, delimiter, [normal_header(h) for h in next(csv.reader([first], delimiter=delimiter), [])]
 
 
+def encoding_of(data: bytes, step: int = 1 << 20) -> str:
+    """The first encoding of several bytes a letter that reads all of a file; else, where bytes are damaged or single, the one that its beginning shows."""
+    for encoding in ENCODINGS[:-1]:
+        decoder = codecs.getincrementaldecoder(encoding)()
+        try:
+            for i in range(0, len(data), step):
+                decoder.decode(data[i : i + step])
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            continue
+        return encoding
+    head = data[:SNIFF_BYTES]
+    return ENCODINGS[-1] if head.isascii() else sniff(head)[0]
+
+
 def _members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
     if zipfile.is_zipfile(io.BytesIO(content)):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -80,7 +96,7 @@ def read_delimited(spark: SparkSession, path: str, aliases: dict[str, list[str]]
         for b in batches:
             for source, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for member, data in _members(source, content):
-                    encoding, delimiter, header = sniff(data[:SNIFF_BYTES])
+                    encoding, delimiter, header = sniff(data[:SNIFF_BYTES], encoding_of(data))
                     found = resolve_headers(header, aliases)
                     if any(r not in found for r in required):
                         continue
