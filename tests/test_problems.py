@@ -149,3 +149,13 @@ def test_orphan_batches_cover_all(spark):
 def test_hot_keys_with_boundless_measures(spark):
     df = spark.createDataFrame([("a", 1e300), ("a", float("inf")), ("a", 2.5)], "key string, m double")
     assert hotkeys.key_totals(df, "t", F.col("key"), F.col("m")).first().total == 2.5
+
+
+def test_p5_snapshots(spark, sf):
+    """One per batch; the last agrees with the final state, the references only grow."""
+    from tramline.plans import problems
+
+    shots = problems.p5_snapshots(spark, sf).groupBy("loaded_until").agg(F.sum("n_refs").alias("n"), F.sum("n_orphans").alias("o")).orderBy("loaded_until").collect()
+    final = problems.p5_by_day(spark, sf).agg(F.sum("n_refs"), F.sum("n_orphans")).first()
+    assert len(shots) > 1 and [r.n for r in shots] == sorted(r.n for r in shots)
+    assert (shots[-1].n, shots[-1].o) == tuple(final)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,15 +80,18 @@ def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return refs.select("trip_hash", "field_name", "key", "day", "loaded_on"), parent_events(stops, F.col("stop"), F.col("a"), F.col("z"))
 
 
-def _orphan_state(refs: DataFrame, events: DataFrame, step_days: int = 31, most: int = 6) -> OrphanState:
+def _orphan_state(refs: DataFrame, events: DataFrame, step_days: int = 31, most: int = 6, each=lambda state, until: None) -> OrphanState:
     """Batches as they come in: references by the day they were loaded, parent events by the day from which they hold.
 
     A batch spans step_days, or more where the time of loading is so long that there were more than most of them; references without a time of loading come first.
+    each is called after every batch with the state and the batch's last day of loading.
     """
     lo, hi = refs.agg(F.min("loaded_on"), F.max("loaded_on")).first()
     state = OrphanState(refs.sparkSession)
     if lo is None:
-        return state.advance(refs.select("key", "day"), events)
+        state.advance(refs.select("key", "day"), events)
+        each(state, None)
+        return state
     step = dt.timedelta(max(step_days, -(-((hi - lo).days + 1) // most)))
     on = F.coalesce("loaded_on", F.lit(lo))
     cuts = [None]
@@ -100,6 +104,7 @@ def _orphan_state(refs: DataFrame, events: DataFrame, step_days: int = 31, most:
         if z is not None:
             r, e = r.filter(on < F.lit(z)), e.filter(F.col("from_day") < f"{z:%Y%m%d}")
         state.advance(r.select("key", "day"), e)
+        each(state, hi if z is None else z - dt.timedelta(1))
     return state
 
 
@@ -117,6 +122,14 @@ def p5_by_day(spark: SparkSession, sf: str) -> DataFrame:
     return counted.join(waiting, ["key", "day"], "left").groupBy("field_name", F.col("day").alias("service_date")).agg(F.sum("n").alias("n_refs"), F.sum(F.when(F.col("orphan") == 1, F.col("n")).otherwise(0)).alias("n_orphans"))
 
 
+def p5_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """References and orphans by day after every batch; loaded_until is the batch's last day of loading."""
+    refs, events = _references(spark, sf)
+    taken: list[DataFrame] = []
+    _orphan_state(refs, events, each=lambda state, until: taken.append(state.snapshot().select(F.lit(until).cast("date").alias("loaded_until"), F.col("day").alias("service_date"), "n_refs", "n_orphans")))
+    return reduce(DataFrame.unionByName, taken)
+
+
 def _rides(spark: SparkSession, sf: str) -> DataFrame:
     legs = table(spark, sf, "legs")
     return legs.select(clean_id("card_id").alias("card_id"), service_day("service_date", "ride_dtm").alias("service_date"), readable_time("ride_dtm").alias("ride"), readable_time("alight_dtm").alias("alight"))
@@ -131,4 +144,4 @@ def p6_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p1_legs, p1_daily_od, p3_found, p3_totals, p4_found, p4_changes, p4_legs, p5_found, p5_by_day, p6_found, p6_periods)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p1_legs, p1_daily_od, p3_found, p3_totals, p4_found, p4_changes, p4_legs, p5_found, p5_by_day, p5_snapshots, p6_found, p6_periods)}
