@@ -3,7 +3,22 @@ import random
 from pyspark.sql import functions as F
 
 from tramline.llm import spam
-from tramline.llm.spamlines import classify, spam_share
+from tramline.llm import spamlines
+
+#: Words of speech as curves of prose would give them.
+SPEECH = frozenset(
+    """a about again all and are at be been before but by can can't come do every find for full get go have he here how i i'll if in is it just know let lost me mean more my never no not of off on one open
+    or said sell she should that the them there they to told until us wait wanted was we we'll we're were what when where which who why will with would you your
+    demasiado es no por para que last met called site""".split()
+)
+
+
+def classify(line):
+    return spamlines.classify(line, SPEECH)
+
+
+def spam_share(text):
+    return spamlines.spam_share(text, SPEECH)
 
 CUE = "{}\n00:00:{:02d},000 --> 00:00:{:02d},900\n{}\n\n"
 
@@ -67,11 +82,11 @@ def test_found_on_spark(spark):
     rows = [(i, talk(), rng.choice(["en", None]), "c") for i in range(300)] + [(1000 + i, junk(), "en", "c") for i in range(6)] + [(2000 + i, links(), None, "c") for i in range(4)]
     rows += [(3000, None, "en", "c"), (3001, "", "en", "c"), (3002, "  \n", None, "c"), (3003, "no", "en", "c"), (3004, rows[300][1], "en", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string").withColumn("share", F.lit("clash"))
-    flags = spam.flagged(df)
-    assert flags.count() < 300
-    got = {r.doc_id for r in spam.checked(df, flags).collect()}
-    assert got == {*range(1000, 1006), *range(2000, 2004), 3004}
-    assert spam.checked(df.limit(0), spam.flagged(df.limit(0))).count() == 0
+    spammed = {*range(1000, 1006), *range(2000, 2004), 3004}
+    flags = {r.doc_id for r in spam.flagged(df).collect()}
+    assert spammed <= flags and len(flags) < 200
+    assert {r.doc_id for r in spam.found(df).collect()} == spammed
+    assert spam.found(df.limit(0)).count() == 0 == spam.flagged(df.limit(0)).count()
 
 
 def test_norm_is_prose(spark):
@@ -82,6 +97,40 @@ def test_norm_is_prose(spark):
     rows = [(i, talk(30), "xx") for i in range(40)] + [(1000 + i, t, "xx") for t in [junk(20)] for i in range(360)] + [(2000 + i, t, "xx") for t in [junk(90)] for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     spammed = {*range(1000, 1360), *range(2000, 2040)}
-    flags = spam.flagged(df)
-    assert spammed <= {r.doc_id for r in flags.collect()}
-    assert {r.doc_id for r in spam.checked(df, flags).collect()} == spammed == {r.doc_id for r in spam.checked(df).collect()}
+    assert spammed <= {r.doc_id for r in spam.flagged(df).collect()}
+    assert {r.doc_id for r in spam.found(df).collect()} == spammed
+
+
+POLISH = [
+    ["Nie wiem, co robić.", "Chodź tutaj, chodź tutaj, szybko!", "Gdzie jest moja czapka?", "Nie wiem, nie wiem, nie wiem.", "Musimy iść do domu."],
+    ["Słuchaj, słuchaj, słuchaj, co mówi babcia.", "Dobrze, dobrze, już idę.", "Kto zamknął okno w kuchni?", "Wczoraj było otwarte.", "To chyba wiatr."],
+    ["Tak, tak, tak, tak, tak.", "Nie, nie, nie, nie, nie.", "Proszę, zostań z nami na kolację.", "Mama upiekła ciasto ze śliwkami.", "Dziękuję, ale muszę wracać."],
+]
+DUTCH = [
+    ["Ik weet het niet.", "Kom hier, kom hier, vlug!", "Waar is mijn hoed gebleven?", "Nee, nee, nee, dat wil ik niet.", "We moeten nu naar huis gaan."],
+    ["Luister, luister, luister, luister nou eens.", "Goed, goed, goed, ik kom al.", "Wie heeft het raam dichtgedaan?", "Gisteren stond het nog open.", "Dat was de wind, denk ik."],
+]
+
+
+def test_other_languages_and_the_curves_part(spark):
+    """Dialogue without prose of its own language isn't spam, lists of links are; without flags by curves nothing is found."""
+    rng = random.Random(4)
+    verbs, nouns = ["sell", "find", "open", "lift", "paint", "mend"], "ship lamp river key garden train map coat door mill window candle".split()
+    talk = lambda: page([f"{rng.choice(['I never wanted to', 'We have to', 'Why would you', 'She told me to'])} {rng.choice(verbs)} the {rng.choice(nouns)} {rng.choice(['before sunset', 'in the yard', 'for three days'])}." for _ in range(rng.randint(4, 40))])
+    rows = [(i, talk(), "en") for i in range(400)] + [(1000 + i, page(p), lang) for lang, ps in (("pl", POLISH), ("nl", DUTCH), (None, POLISH)) for i, p in enumerate(ps, {"pl": 0, "nl": 10, None: 20}[lang])]
+    rows += [(1100, page(sum(POLISH, []) * 3), "pl"), (1200, "\n".join(f"http://sklep{i}.test/tanie-buty" for i in range(30)), "pl"), (1201, page(["tanie buty; szybka pożyczka; tanie buty Tanor; TANIE BUTY; tanie buty; tanie buty"] * 12), "pl")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in spam.found(df).collect()} == {1200, 1201}
+    kept = spam.FAR, spam.FAR_SHAPE, spam.FAR_UNKNOWN
+    spam.FAR = spam.FAR_SHAPE = spam.FAR_UNKNOWN = 1e9
+    try:
+        assert spam.found(df).count() == 0
+    finally:
+        spam.FAR, spam.FAR_SHAPE, spam.FAR_UNKNOWN = kept
+
+
+def test_long_parts():
+    for n in (20, 700, 100_000):
+        assert classify(f'<a href="shop.test/{"x" * n}">cheap shoes</a>') == "link" == classify("https://shop.test/" + "x" * n) == classify(f"[url=http://a.test/{'y' * n}]fast loan[/url]") == classify(f"[{'z' * n}](http://a.test)")
+    for unit in ("<a ", "[url ", "[x](", "www", "http://", "a.", "{\\", "<i ", ";,", "(.)a"):
+        spam_share(unit * 30_000)

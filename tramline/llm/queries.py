@@ -43,7 +43,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return spam.checked(table(spark, sf, "documents")).select("doc_id")
+    return spam.found(table(spark, sf, "documents")).select("doc_id")
 
 
 def p9_curves(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,44 +1,32 @@
-"""Which characters of a subtitle text are keywords, links or product tags, line by line."""
+"""Which characters of a subtitle text are keywords, links or product tags, line by line.
+
+The words of speech of the page's language are given, as its curve of prose tells them.
+Where it has none (known is false), a line is judged by its form and repeats alone.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 
-#: Frequent words of speech in the languages of the corpus. Words that also occur in search phrases are left out.
-SPEECH = frozenset(
-    """
-    a about again all alright an and any anyone are at be been but by can can't could did didn't do does don't every get go gone had has have he hear here how i i'll i'm if in is it it's
-    just know let let's like may me mean more must my never no not nothing of on only or our over said say she she's should since so some stand than that the their them then there there's they
-    they'll this to too told until wait wanted was we we'll we're were what when where which who why will with without would yes you'd you'll you're your write
-    algo alguien antes aquí así bajo como cómo con cuando cuál de dejó del dejado desde después dijiste dónde durante el ella entre era es eso esto espérame está estarían estoy fue hay hasta iba
-    junto la las le lo los me mi muy más nada ni no nos nunca o para pero por porque qué que quise quién se sí si sin sobre su también te tenemos todo tras tu un una vamos y ya yo
-    aber alle als am auf aus bei bin bis da das dass davon dem den der des die dies doch du ein eine einen einer er es etwas für gesagt gibt hast hat heißt hier hinter ich ihr im in ist ja
-    jemand kein keine komm könnte man mehr mein mich mir mit müssen na nach nein nicht nichts nie noch nur oder ohne seit sie sind so sollte um und unter vom vor wäre wären war warte warum was weg wer
-    wie wir wird wollte wo zu zum zur
-    alors à après attends au aux avait avec avant ça c'est ce ces cette chose comment d'accord dans de derrière des dit donc du elle est et il ils j'ai jamais je jusqu'à la laissé le les leur
-    lui m'avais m'en mais me moi mon ne non nous on ou où parlé par pendant plus pour pourquoi près puis qu'il quand que qui rien sa sans se ses si son sous sur ta te telle ton trop tu un une va
-    viens voulu vous y
-    а без бы был был была было быть в вам вас вот все всё вы где говорил да до его ее её если есть ещё же жди за зачем здесь и из или им их к как когда кто ладно мне меня мы на надо не нет
-    ничего но ну о об он она они оставил от по под пойдём после потом почему рассказал так такое там то только ты тут у уже хотел что чтобы это этот я
-    그 그걸 그랬어 그리고 기다려 가자 누가 두고 갔지 말해 말이야 사라졌어 아니 안 알았어 없어 여긴 왜 줬어 돼 이 저 것 내 너 나 우리
-    """.split()
-)
 _CUE = re.compile(r"\s*[\[{(]?\d{1,2}:\d\d(?::\d\d)?[.,:]\d{1,3}\b.*\d:\d\d|\s*\{\d+\}\{\d+\}")
-_MARK = re.compile(r"</?\s*(?:i|b|u|s|font|br|p|span)\b[^>]{0,300}>|\{\\[^}]{0,300}\}", re.I)
-_DOT = r"(?:\.|,|\s\.\s|\s?[\[({]\s?\.\s?[\])}]\s?|\s[\[(]?dot[\])]?\s|\[dot\]|\(dot\))"
-_TLD = r"(?:t[ec]st|[ilí1]nva[ilíI1][ilíI1]d|[ec]xamp[ilI1][ec]|com|net|org|info)"
-#: Bare domains, also with the dot spelled out, and whatever begins as an address.
-_URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:?\s?//\s?|\bwww\s?{_DOT}?)[^\s<>\"\])]{{0,500}}(?:{_DOT}[^\s<>\"\])]{{1,500}}){{0,9}}|(?<![\w-])[\w-]{{1,63}}{_DOT}{_TLD}\b(?![\w.])(?:/[^\s<>\"\])]{{0,500}})?", re.I)
+#: The patterns are linear: what may be long is possessive and stops where the next match may begin.
+_MARK = re.compile(r"</?\s*+(?:i|b|u|s|font|br|p|span)\b[^<>]*+>|\{\\[^{}]*+\}", re.I)
+_PART = r"[^\s<>\"\[\](){}]"
+#: A dot, also spelled out.
+_APART = r"(?:\s\.\s|\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?|\sdot\s)"
+_DOT = rf"(?:[.,]|{_APART})"
+#: Whatever begins as an address, and bare domains with the dot spelled out.
+_URL = re.compile(rf"(?:h(?:tt|xx)ps?\s?:?\s?//\s?|\bwww\s?{_DOT}?){_PART}*+(?:{_APART}{_PART}++)*+|(?<![\w-])[\w-]{{1,63}}(?:{_APART}[\w-]{{1,63}}){{0,4}}{_APART}[^\W\d_]{{2,24}}(?=[/\s]|$)(?:/{_PART}*+)?", re.I)
 #: Bare domains by their structure, with any last label, where a blank, slash, separator or nothing follows.
-_BARE = re.compile(r"(?<![\w.@-])((?:[\w-]{1,63}\.){1,4})([a-zа-яё가-힣][A-Za-zА-яЁё가-힣]{1,23}|[A-Z]{2,24})(?=[\s/,;|)\]>\"»]|$)(?:/[^\s<>\"\])]{0,500})?")
-_ANCHOR = re.compile(r"<a\s[^>]{1,500}>|\[url[^\]]{0,500}\]|\[[^\]\[]{0,200}\]\([^)]{1,500}", re.I)
+_BARE = re.compile(rf"(?<![\w.@-])((?:[\w-]{{1,63}}\.){{1,126}})([a-zа-яё가-힣][A-Za-zА-яЁё가-힣]{{1,23}}|[A-Z]{{2,24}})(?=[\s/,;|)\]>\"»]|$)(?:/{_PART}*+)?")
+_ANCHOR = re.compile(r"<a\s[^<>]++>|\[url[^\[\]]*+\]|\[[^\[\]]*+\]\([^)\[]", re.I)
 #: Without this no address is in a line; it costs far less than the search for one.
-_MAYBE = re.compile(rf"//|www|\[|<a|{_DOT}{_TLD}\b|\w\.[^\W\d_]{{2}}", re.I)
+_MAYBE = re.compile(rf"//|www|\[|<a|{_APART}\w|\w\.[^\W\d_]{{2}}", re.I)
 _HASHTAG = re.compile(r"#[^\s\d#.,!?][^ \t#]*")
 _GOODS = re.compile(r"\d[.,][\dOol]{2}\s?(?:€|\$|£|₩|USD|EUR|GBP|KRW|â‚¬|\S{1,6}$)|\bSKU\b|\b\d+\s?GB\b|-\s?\d+\s?%", re.I)
-_SPLIT = re.compile(r"[;•|·,!?.]{1,8}\s|\s[/\-–—|»«]\s|[;•|·]")
-#: What a wrong encoding leaves of letters. All patterns here are bounded, so that long lines cost in proportion.
+_SPLIT = re.compile(r"(?<![;•|·,!?.])[;•|·,!?.]++\s|\s[/\-–—|»«]\s|[;•|·]")
+#: What a wrong encoding leaves of letters.
 _LEFT = re.compile("[\x80-\u02ff\ufffd\u2000-\u25ff]+")
 #: So many lines in a row without speech or a sentence's end are a list, whatever their words.
 _RUN = 8
@@ -71,24 +59,24 @@ def _words(s: str) -> list[str]:
     return [w for x in s.split(" ") if (w := x.strip(_STRIP).lower())]
 
 
-def _speech(words: list[str]) -> float:
-    return sum(w in SPEECH for w in words) / len(words) if words else 0.0
+def _speech(words: list[str], speech: frozenset) -> float:
+    return sum(w in speech for w in words) / len(words) if words else 0.0
 
 
-def _site(m: re.Match) -> bool:
+def _site(m: re.Match, speech: frozenset) -> bool:
     """False where a blank is missing after a sentence, as words of speech on both sides or a longer one after the dot tell."""
     before, last = m[1].lower().split(".")[-2], m[2].lower()
-    return any(map(str.isalpha, before)) and not (last in SPEECH and (len(last) > 2 or before in SPEECH))
+    return any(map(str.isalpha, before)) and not (last in speech and (len(last) > 2 or before in speech))
 
 
-def _link(line: str) -> bool:
+def _link(line: str, speech: frozenset) -> bool:
     """A list entry with a link, not speech or a credit that names a site."""
     if _ANCHOR.search(line):
         return True
     found = _URL.findall(line)
     rest = _URL.sub(" ", line)
     if "." in rest:
-        bare = [m for m in _BARE.finditer(rest) if _site(m)]
+        bare = [m for m in _BARE.finditer(rest) if _site(m, speech)]
         found += [m[0] for m in bare]
         for m in reversed(bare):
             rest = f"{rest[: m.start()]} {rest[m.end() :]}"
@@ -99,7 +87,7 @@ def _link(line: str) -> bool:
         return True
     if line.rstrip("♪ </i>").endswith("?") and "//" not in line and len(rest) <= 2:
         return False  # somebody is asked about a site
-    return len(rest) <= 4 and sum(w in SPEECH for w in rest) * 3 < max(1, len(rest))
+    return len(rest) <= 4 and sum(w in speech for w in rest) * 3 < max(1, len(rest))
 
 
 def _parts(line: str) -> list[str]:
@@ -120,12 +108,12 @@ def broken(text: str) -> bool:
     return bad > 0.3 * max(1, sum(map(str.isalpha, text)))
 
 
-def classify(line: str, unreadable: bool = False) -> str:
+def classify(line: str, speech: frozenset = frozenset(), unreadable: bool = False) -> str:
     """link, tags, goods, list (several items without speech), item (one short item without speech) or speech.
 
     unreadable: a list then needs twice the words, as the words of speech don't tell.
     """
-    if _MAYBE.search(line) and _link(line):
+    if _MAYBE.search(line) and _link(line, speech):
         return "link"
     tags = _HASHTAG.findall(line) if "#" in line else ()
     if len(tags) >= 2 and sum(map(len, tags)) > 0.6 * len(line.replace(" ", "")):
@@ -133,24 +121,24 @@ def classify(line: str, unreadable: bool = False) -> str:
     plain = _MARK.sub(" ", line) if "<" in line or "{" in line else line
     bare = _SPEAKER.sub("", plain)
     words = _words(bare)
-    speech = _speech(words)
-    if speech >= 0.2:
+    spoken = _speech(words, speech)
+    if spoken >= 0.2:
         return "speech"
     if len(words) >= 3 and _GOODS.search(plain):
         return "goods"
     if any(m in line for m in _MUSIC) or _SOUND.search(bare):
         return "speech"
     items = [x for x in _SPLIT.split(plain) if x.strip(_STRIP)]
-    if len(words) >= (12 if unreadable else 6) and speech < 0.15 and _repeats(words) >= 0.15:
+    if len(words) >= (12 if unreadable else 6) and spoken < 0.15 and _repeats(words) >= 0.15:
         return "list"
-    if len(items) >= 4 and (not unreadable or len(items) >= 5 and _repeats(words) >= 0.15) and speech < 0.1 and len(words) <= 5 * len(items) and len(set(map(str.lower, items))) > 1:
+    if len(items) >= 4 and (not unreadable or len(items) >= 5 and _repeats(words) >= 0.15) and spoken < 0.1 and len(words) <= 5 * len(items) and len(set(map(str.lower, items))) > 1:
         return "list"
     return "item" if 0 < len(words) <= 6 else "speech"
 
 
-def _in_list(part: str) -> bool:
+def _in_list(part: str, speech: frozenset) -> bool:
     """True if a short item has no word of speech and neither ends nor begins like a spoken line."""
-    return not _ENDS.search(part) and not any(w in SPEECH for w in _words(part))
+    return not _ENDS.search(part) and not any(w in speech for w in _words(part))
 
 
 def _is_list(run: list[str]) -> bool:
@@ -159,12 +147,12 @@ def _is_list(run: list[str]) -> bool:
     return len(run) >= _RUN and (len(words) >= 2 * len(run) and len(set(run)) > 0.5 * len(run) or _repeats(words) < 0.1)
 
 
-def spam_share(text: str | None) -> float:
+def spam_share(text: str | None, speech: frozenset = frozenset(), known: bool = True) -> float:
     """Share of the text's characters, cue numbers and times aside, in lines of keywords, links or product tags."""
     if not text:
         return 0.0
     whole, spam = 0, 0
-    unreadable = broken(text)
+    unreadable = not known or broken(text)
     if text.count("?") > 0.2 * len(text):  # letters became question marks: runs of them stand for words
         text, unreadable = re.sub(r"\?{2,}", lambda m: "x" * len(m[0]), text), True
     items: list[tuple[str, int]] = []
@@ -173,9 +161,9 @@ def spam_share(text: str | None) -> float:
         for part in _parts(line):
             n = len(part)
             whole += n
-            kind = classify(part, unreadable)
+            kind = classify(part, speech, unreadable)
             if kind == "item":
-                if unreadable or not _in_list(part):
+                if unreadable or not _in_list(part, speech):
                     runs.append([])
                 else:
                     runs[-1].append(len(items))
