@@ -50,32 +50,50 @@ MIN_PAGES, MAX_LANGUAGES = 30, 1000
 FAR, FAR_SHAPE, FAR_UNKNOWN = 1.5, 3.0, 1.0
 #: Up to and from here a page is near prose and far from it, when words of speech are told.
 NEAR, OUT = 1.0, 6.0
-#: A page is of a known language if so much of its words is among the ranked ones.
-KNOWN = 0.25
+#: A page that has a word more than FEW times and OFTEN times as much as prose does may have stuffed it.
+FEW, OFTEN = 5, 5.0
+#: A language's norm of divergence for a length holds if it is at most so many times that of all languages; else spam makes most of it.
+LIKE_ALL = 1.5
+#: A page is of a known language if so much of its words is among the ranked ones, and no more are links and tags.
+KNOWN, MOST_LINKS = 0.25, 0.75
 #: Ranks up to which the mass of a page's own most frequent words is compared.
 CUTS = (1, 2, 4, 8, 16, 32, 64)
 #: Codes that stand for no one language.
 NO_LANGUAGE = ("", "und", "mul", "zxx", "mis")
 UNIT = 1_000_000
-_CUE = re.compile(r"^.*-->.*$|^[ \t]*\d+[ \t]*$", re.M)
 _SITE = re.compile(r"\w[.,\])]{1,3}\w{1,63}/|//|www|\[url|href|\]\(", re.I)
 _EDGE = " \t.,;:!?|•·*♪\"'()[]<>«»-–—…/¿¡"
 ID = ["_a", "_b"]
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a page in lower case; links, tags and numbers as shapes."""
-    out = []
-    for w in _CUE.sub(" ", text).lower().split():
+class _Shapes(dict):
+    """Word as written in lower case -> the word, or the shape of a link, tag or number; empty if nothing is left."""
+
+    def __missing__(self, w: str) -> str:
         if w.isalpha() and "www" not in w and "href" not in w:
-            out.append(w)
+            out = w
         elif len(w) > 3 and _SITE.search(w):
-            out.append("<link>")
+            out = "<link>"
         elif w[0] == "#":
-            out.append("<tag>")
-        elif w := w.strip(_EDGE):
-            out.append("<number>" if any(map(str.isdigit, w)) else w)
-    return out
+            out = "<tag>"
+        elif out := w.strip(_EDGE):
+            out = "<number>" if any(map(str.isdigit, out)) else out
+        if len(self) > 200_000:  # starts anew, with the same results
+            self.clear()
+        if len(w) < 64:
+            self[w] = out
+        return out
+
+
+_shapes = _Shapes()
+
+
+def words_of(text: str) -> Counter:
+    """How often the words of a page occur, in lower case and without numbers and times of cues; links, tags and numbers as shapes."""
+    lines = [x for x in text.lower().splitlines() if "-->" not in x and not x.strip().isdigit()]
+    counts = Counter(map(_shapes.__getitem__, " ".join(lines).split()))
+    counts.pop("", None)
+    return counts
 
 
 def _id(text: Column) -> list[Column]:
@@ -98,22 +116,24 @@ class Prose:
     words: dict[str, list[tuple[int, float]]]
 
     def nearest(self, counts: Counter) -> tuple[int, float, float]:
-        """(language or -1, divergence from its prose, share of the words that it ranks)."""
+        """(language or -1, divergence from its prose, share of the plain words that it ranks, 0 on a page of links)."""
         n = sum(counts.values())
         if not self.langs or not n:
             return -1, 0.0, 0.0
-        hit, log_q = [0] * len(self.langs), [0.0] * len(self.langs)
-        own = 0.0
-        for w, c in counts.items():
-            own += c * math.log(c / n)
-            for i, q in self.words.get(w, ()):
+        hit, log_q, known = [0] * len(self.langs), [0.0] * len(self.langs), self.words
+        own = sum(c * math.log(c) for c in counts.values() if c > 1) - n * math.log(n)
+        for w in known.keys() & counts.keys():
+            c = counts[w]
+            for i, q in known[w]:
                 hit[i] += c
                 log_q[i] += c * q
-        shapes = sum(counts[s] for s in ("<link>", "<tag>", "<number>"))
         best = max(range(len(self.langs)), key=lambda i: log_q[i] + (n - hit[i]) * self.outside[i])
         off = (own - log_q[best] - (n - hit[best]) * self.outside[best]) / n
-        plain = n - shapes
-        ranked = hit[best] - sum(counts[s] for s in ("<link>", "<tag>", "<number>") if any(i == best for i, _ in self.words.get(s, ())))
+        if counts["<link>"] + counts["<tag>"] > MOST_LINKS * n:
+            return best, off, 0.0
+        shapes = [s for s in ("<link>", "<tag>", "<number>") if s in counts]
+        plain = n - sum(counts[s] for s in shapes)
+        ranked = hit[best] - sum(counts[s] for s in shapes if any(i == best for i, _ in known.get(s, ())))
         return best, off, ranked / plain if plain else 1.0
 
 
@@ -121,24 +141,26 @@ def _by_word(pages: DataFrame, given: list[str], label) -> DataFrame:
     """Sums of page-wise word shares by label(row values and the page's words) and word; a row without a word counts the pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass: Counter = Counter()
+        mass: dict[tuple, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(*k, v) for k, v in mass.items()]
+            rows = [(*k, w, v) for k, words in mass.items() for w, v in words.items()]
             mass.clear()
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["lang", "side", "word", "mass"])
 
         for b in batches:
             for *row, text in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
-                counts = Counter(words_of(text))
+                counts = words_of(text)
                 if not counts or (k := label(*row, counts)) is None:
                     continue
-                n = sum(counts.values())
-                mass[*k, None] += 1
+                if (words := mass.get(k)) is None:
+                    words = mass[k] = Counter()
+                unit = UNIT // sum(counts.values())
+                words[None] += 1
                 for w, c in counts.items():
-                    mass[*k, w] += round(UNIT * c / n)
-            if len(mass) > 300_000:  # a state that outgrows the task's share is sent on and merged later
+                    words[w] += unit * c
+            if sum(map(len, mass.values())) > 300_000:  # a state that outgrows the task's share is sent on and merged later
                 yield flush()
         yield flush()
 
@@ -176,7 +198,7 @@ def spectra(pages: DataFrame, prose: Prose) -> DataFrame:
         for b in batches:
             lang, total, off, spectrum = [], [], [], []
             for t in b.column(2).to_pylist():
-                counts = Counter(words_of(t))
+                counts = words_of(t)
                 i, d, known = p.nearest(counts)
                 lang.append(p.langs[i] if i >= 0 and known >= KNOWN else None)
                 total.append(sum(counts.values()))
@@ -221,7 +243,8 @@ def deviations(fits: DataFrame) -> DataFrame:
     back, on = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("size").rowsBetween(0, Window.unboundedFollowing)
     every = every.select("size", F.coalesce(F.last("norm", ignorenulls=True).over(back), F.first("norm", ignorenulls=True).over(on)).alias("every"))
     f = fits.join(F.broadcast(own), (F.col("lang") == F.col("_lang")) & (F.col("size") == F.col("_size")), "left").join(F.broadcast(every), "size", "left")
-    f = f.withColumn("norm", F.coalesce("own", "every")).drop("own", "every", "_lang", "_size")
+    alike = F.col("own.divergence")[1] <= LIKE_ALL * F.col("every.divergence")[1]
+    f = f.withColumn("norm", F.when(F.col("own").isNotNull() & F.coalesce(alike, F.lit(True)), F.col("own")).otherwise(F.col("every"))).drop("own", "every", "_lang", "_size")
     lo, mid, hi = (lambda c, i=i: F.col(f"norm.{c}")[i] for i in range(3))
     # Spam diverges upwards, so the lower side tells prose's spread; of a shape the narrower side.
     off = F.greatest(mid("divergence") - lo("divergence"), F.lit(1e-3))
@@ -245,8 +268,8 @@ def _flags(d: DataFrame) -> DataFrame:
     return d.withColumn("flagged", flag).select(*ID, "lang", "n_words", "divergence_off", "slope_off", "residual_off", "bent_off", "flagged")
 
 
-def speech_of(pages: DataFrame, prose: Prose, d: DataFrame) -> dict[str, frozenset]:
-    """Words of speech by language: at most SPEECH_RANKS each, in use near the norm of prose and seldom far from it.
+def speech_of(pages: DataFrame, prose: Prose, d: DataFrame) -> dict[str, dict[str, float]]:
+    """Words of speech by language, with their share of a page of prose: at most SPEECH_RANKS each, in use near the norm of prose and seldom far from it.
 
     The norms are read off the pages' deviations: one row per language and length goes to the tasks.
     """
@@ -268,10 +291,17 @@ def speech_of(pages: DataFrame, prose: Prose, d: DataFrame) -> dict[str, frozens
     rate = rate.groupBy("lang", "word").agg(F.sum(F.when(F.col("side") == 0, F.col("rate")).otherwise(0.0)).alias("near"), F.sum(F.when(F.col("side") == 1, F.col("rate")).otherwise(0.0)).alias("far"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("near").desc(), "word"))
     kept = rate.withColumn("rank", rank).filter((F.col("rank") <= SPEECH_RANKS) & (F.col("near") > 0) & (F.col("near") >= SPEECH_RATIO * F.col("far")))
-    out: dict[str, set] = {}
-    for r in kept.select("lang", "word").collect():
-        out.setdefault(r.lang, set()).add(r.word)
-    return {k: frozenset(v) for k, v in out.items()}
+    out: dict[str, dict[str, float]] = {}
+    for r in kept.select("lang", "word", "near").collect():
+        out.setdefault(r.lang, {})[r.word] = r.near / UNIT
+    return out
+
+
+def speech_on(text: str, speech: dict[str, float]) -> frozenset:
+    """Words that show speech on this page: not those that it repeats OFTEN times as much as prose does."""
+    counts = words_of(text)
+    n = sum(counts.values())
+    return frozenset(w for w, q in speech.items() if counts[w] <= max(FEW, OFTEN * q * n))
 
 
 @dataclass
@@ -280,7 +310,7 @@ class Judged:
 
     pages: DataFrame
     flags: DataFrame
-    speech: dict[str, frozenset]
+    speech: dict[str, dict[str, float]]
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> Judged:
@@ -309,7 +339,7 @@ def found(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            share = [spam_share(t, sent.value.get(x, frozenset()), x is not None) for x, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            share = [spam_share(t, speech_on(t, sent.value.get(x, {})), x is not None) for x, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share, pa.float64())], [*ID, "share"])
 
     checked = j.pages.select(*ID, "text").join(suspects, ID).select(*ID, "_lang", "text").mapInArrow(run, "_a long, _b long, share double").filter("share > 0.5").dropDuplicates(ID)
