@@ -69,8 +69,20 @@ fields = st.lists(st.sampled_from(["20260302", '"20260303"', "5", " 23 ", "24",
 def test_block_agrees_with_strict(rows):
     """A block that the bulk path takes has only lines that the strict reader takes, with the same values."""
     lines = [",".join(r) for r in rows]
-    for at, cols in R.bisect(*R.plain(pa.array(lines, pa.string()), R.DAILY_OD), R.DAILY_OD):
-        if cols is not None:
-            for i in range(len(cols[0])):
-                reason, _, values = R.diagnose(lines[at + i], R.DAILY_OD)
-                assert reason is None and values == [c[i].as_py() for c in cols]
+    good, cols, isolated = R.parse_block(pa.array(lines, pa.string()), R.DAILY_OD)
+    assert sorted([*good, *isolated]) == list(range(len(lines)))
+    for k, i in enumerate(good):
+        reason, _, values = R.diagnose(lines[i], R.DAILY_OD)
+        assert reason is None and values == [c[k].as_py() for c in cols]
+    for i in isolated:
+        assert R.diagnose(lines[i], R.DAILY_OD)[0] is not None
+
+
+def test_only_bad_records_are_isolated():
+    """Stray quotes swallow lines, and still every good record stays on the columnar path."""
+    lines = [GOOD] * 3000
+    bad = {7: GOOD[:-1], 8: GOOD[:-1], 40: '"' + GOOD, 41: GOOD + ",", 900: GOOD.replace("9100", '9"100'), 901: GOOD.replace("9100", '"9100"x'), 2999: GOOD.replace(",1.0,", ",0,")}
+    for i, x in bad.items():
+        lines[i] = x
+    good, cols, isolated = R.parse_block(pa.array(lines, pa.string()), R.LEGS)
+    assert set(isolated.tolist()) == set(bad) and len(good) == len(cols[0]) == 3000 - len(bad)

@@ -1,9 +1,11 @@
 """Rows that fail to parse: valid lines as typed rows, the others with the reason.
 
-Blocks of lines are parsed at once by Arrow's CSV reader and checked by whole-column
-tests. A block that fails anywhere is bisected until no more than a handful of records
-are left around the bad ones; only those go one by one through the strict reader, which
-names the field and the reason.
+Blocks of lines are parsed at once by Arrow's CSV reader. A block whose records and lines
+do not come out even, because a quote swallowed what follows it, is bisected, down to
+single records if need be. All stretches that did come out even are checked as whole
+columns; a column's mask cuts out the records that fail it, so that good records never
+leave the columnar path. Only isolated records go through the strict reader, which names
+the field and the reason.
 
 Defined cases: a null line, an unknown or null feed and an empty line are rejects; a
 null line_id stays null; repeated lines are each judged; very long lines are read whole;
@@ -16,7 +18,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date
-from functools import cached_property
 from io import BytesIO
 
 import numpy as np
@@ -27,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t"
-#: A failing block of so many records is read one by one: the strict reader costs less than another bulk attempt.
-LEAF = 32
 
 
 @dataclass(frozen=True)
@@ -39,18 +38,6 @@ class Contract:
     fields: tuple[str, ...]
     checks: dict[str, str] = field(default_factory=dict)
 
-    @cached_property
-    def line(self) -> str:
-        """Pattern of a line whose fields have the right form; line breaks are left to the strict reader."""
-        either = []
-        for f in self.fields:
-            shape = SHAPES.get(self.checks.get(f, ""))
-            if shape is None:
-                either.append(r'(?:[^",\r\n\x00]*|"(?:[^"\r\n\x00]|"")*")')
-            else:
-                either.append(rf'(?:[ \t]*{shape}[ \t]*|"[ \t]*{shape}[ \t]*")')
-        return rf"\A{','.join(either)}\z"
-
 
 LEGS = Contract(
     "legs",
@@ -69,10 +56,6 @@ SHAPES = {"date": r"[0-9]{8}", "stop": r"[0-9]{9}(?:\.0)?", "positive": r"[0-9]+
 REASONS = {"date": "not a real date", "filled": "empty", "time": "unreadable time", "stop": "not a nine-digit stop id", "positive": "not a number above 0", "hour": "not an hour 0-23"}
 
 
-class BlockError(Exception):
-    """Some line of the block is not plainly valid."""
-
-
 def _days(ymd: pa.Array) -> np.ndarray:
     """True where eight digits form a real date."""
     v = ymd.cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -81,9 +64,8 @@ def _days(ymd: pa.Array) -> np.ndarray:
     return (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= last)
 
 
-def _require(ok) -> None:
-    if not (ok.all() if isinstance(ok, np.ndarray) else pc.all(ok, min_count=0).as_py()):
-        raise BlockError
+def _flags(mask) -> np.ndarray:
+    return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
 
 
 def _digits_of_time(col: pa.Array) -> pa.Array:
@@ -92,52 +74,96 @@ def _digits_of_time(col: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(n, 12), pc.binary_join_element_wise(t, "00", ""), pc.if_else(pc.equal(n, 10), pc.binary_join_element_wise(t, "0000", ""), t))
 
 
-def plain(lines: pa.Array, contract: Contract) -> tuple[pa.Array, np.ndarray]:
-    """The lines without a final carriage return, and which of them have the contract's form."""
-    lines = pc.replace_substring_regex(lines, r"\r\z", "")
-    return lines, pc.fill_null(pc.match_substring_regex(lines, contract.line), False).to_numpy(zero_copy_only=False)
+def bulk(lines: pa.Array, contract: Contract) -> tuple[pa.Table, list[int]] | None:
+    """(rows, places of lines with another number of fields) if every line is a record of its own, else None.
 
+    lines hold no line breaks, so a quote can only make records fewer than lines.
+    """
+    uneven: list[int] = []
+
+    def skip(row) -> str:
+        uneven.append(row.number - 1)
+        return "skip"
+
+    read = pacsv.read_csv(
+        BytesIO(("\n".join(lines.to_pylist()) + "\n").encode()),
+        pacsv.ReadOptions(column_names=contract.fields, use_threads=False, block_size=max(1 << 20, lines.nbytes * 2)),
+        pacsv.ParseOptions(ignore_empty_lines=False, invalid_row_handler=skip),
+        pacsv.ConvertOptions(column_types={f: pa.string() for f in contract.fields}, strings_can_be_null=False),
+    )
+    return (read, uneven) if read.num_rows + len(uneven) == len(lines) else None
+
+
+def bisect(lines: pa.Array, contract: Contract, start: int = 0) -> Iterator[tuple[int, int, pa.Table | None, list[int]]]:
+    """(first line, lines, rows, places of uneven lines) of stretches that came out even; rows is None for a record that never does."""
+    got = bulk(lines, contract)
+    if got is not None:
+        yield start, len(lines), *got
+    elif len(lines) == 1:
+        yield start, 1, None, [0]
+    else:
+        half = len(lines) // 2
+        yield from bisect(lines.slice(0, half), contract, start)
+        yield from bisect(lines.slice(half), contract, start + half)
 
-def parse_block(lines: pa.Array, formed: np.ndarray, contract: Contract) -> list[pa.Array]:
-    """Typed columns of a block in which every line is valid; BlockError if any is not.
 
-    Accepting is always right; a rare valid line (one with a line break in a field) may be refused and is left to the strict reader.
-    """
-    _require(formed)
-    try:
-        read = pacsv.read_csv(
-            BytesIO(("\n".join(lines.to_pylist()) + "\n").encode()),
-            pacsv.ReadOptions(column_names=contract.fields, use_threads=False, block_size=max(1 << 20, lines.nbytes * 2)),
-            pacsv.ParseOptions(ignore_empty_lines=False),
-            pacsv.ConvertOptions(column_types={f: pa.string() for f in contract.fields}, strings_can_be_null=False),
-        )
-    except pa.ArrowInvalid as e:
-        raise BlockError from e
-    if read.num_rows != len(lines):
-        raise BlockError
-    out = []
+def _quotes_ok(lines: pa.Array) -> np.ndarray:
+    """True where nothing but wholly enclosed fields has quotes: without those no quote is left."""
+    quoted = _flags(pc.match_substring(lines, '"'))
+    ok = np.ones(len(lines), bool)
+    if quoted.any():
+        apart = pc.binary_join_element_wise("", pc.replace_substring(lines.filter(pa.array(quoted)), ",", ",,"), "", ",")
+        ok[quoted] = ~_flags(pc.match_substring(pc.replace_substring_regex(apart, ',"(?:[^"]|"")*",', ","), '"'))
+    return ok
+
+
+def _checked(col: pa.Array, check: str | None) -> tuple[pa.Array, np.ndarray | None]:
+    """(typed column, mask of the values that pass); values that don't are replaced by some that can be typed."""
+    if check is None:
+        return col, None
+    if check == "filled":
+        return col, _flags(pc.not_equal(col, ""))
+    if check == "time":
+        t = _digits_of_time(col)
+        ok = _flags(pc.equal(pc.utf8_length(t), 14))
+        t = pc.if_else(pa.array(ok), t, "00010101000000")
+        clock = pc.utf8_slice_codeunits(t, 8, 14).cast(pa.int64()).to_numpy(zero_copy_only=False)
+        return col, ok & _days(pc.utf8_slice_codeunits(t, 0, 8)) & (clock // 10000 < 24) & (clock // 100 % 100 < 60) & (clock % 100 < 60)
+    ok = _flags(pc.match_substring_regex(col, rf"\A(?:{SHAPES[check]})\z"))
+    if check == "date":
+        return col, ok & _days(pc.if_else(pa.array(ok), col, "00010101"))
+    if check in NUMBERS:
+        typed = pc.if_else(pa.array(ok), col, "0").cast(NUMBERS[check][1])
+        return typed, ok & _flags(pc.greater(typed, 0.0) if check == "positive" else pc.less(typed, 24))
+    return col, ok
+
+
+def parse_block(lines: pa.Array, contract: Contract) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+    """(places of the valid lines, their typed columns, places of the isolated records for the strict reader)."""
+    lines = pc.replace_substring_regex(lines, r"\r\z", "")
+    # Null and empty lines, and those with a break inside, are no records that stand in one line.
+    apart = _flags(pc.or_kleene(pc.equal(pc.fill_null(lines, ""), ""), pc.match_substring_regex(pc.fill_null(lines, ""), "[\r\n\\x00]")))
+    at = np.flatnonzero(~apart)
+    whole = lines.take(pa.array(at))
+    places, tables, isolated = [], [], [np.flatnonzero(apart)]
+    for start, n, rows, uneven in bisect(whole, contract) if len(whole) else ():
+        here = np.arange(start, start + n)
+        isolated.append(at[here[uneven]])
+        if rows is not None:
+            places.append(np.delete(here, uneven))
+            tables.append(rows)
+    if not tables:
+        return np.array([], int), [pa.array([], _types((contract,))[f][1]) for f in contract.fields], np.sort(np.concatenate(isolated))
+    places, rows = np.concatenate(places), pa.concat_tables(tables).combine_chunks()
+    ok, cols = _quotes_ok(whole)[places], []
     for name in contract.fields:
-        col = pc.utf8_trim(read[name].combine_chunks(), BLANKS)
+        col = rows[name].combine_chunks()
         col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-        check = contract.checks.get(name)
-        if check == "filled":
-            _require(pc.not_equal(col, ""))
-        if check == "date":
-            _require(_days(col))
-        elif check == "time":
-            t = _digits_of_time(col)
-            _require(pc.equal(pc.utf8_length(t), 14))
-            _require(_days(pc.utf8_slice_codeunits(t, 0, 8)))
-            clock = pc.utf8_slice_codeunits(t, 8, 14).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            _require((clock // 10000 < 24) & (clock // 100 % 100 < 60) & (clock % 100 < 60))
-        elif check == "positive":
-            col = col.cast(pa.float64())
-            _require(pc.greater(col, 0.0))
-        elif check == "hour":
-            col = col.cast(pa.int32())
-            _require(pc.less(col, 24))
-        out.append(col)
-    return out
+        col, mask = _checked(pc.utf8_trim(col, BLANKS), contract.checks.get(name))
+        ok = ok if mask is None else ok & mask
+        cols.append(col)
+    kept = pa.array(ok)
+    return at[places[ok]], [c.filter(kept) for c in cols], np.sort(np.concatenate([*isolated, at[places[~ok]]]))
 
 
 def _split(line: str) -> list[str]:
@@ -210,19 +236,6 @@ def diagnose(line: str | None, contract: Contract | None) -> tuple[str | None, s
     return None, None, out
 
 
-def bisect(lines: pa.Array, formed: np.ndarray, contract: Contract, start: int = 0) -> Iterator[tuple[int, list[pa.Array] | None]]:
-    """(offset, typed columns) of plainly valid stretches and (offset, None) of each suspect record."""
-    try:
-        yield start, parse_block(lines, formed, contract)
-    except BlockError:
-        if len(lines) <= LEAF:
-            yield from ((start + i, None) for i in range(len(lines)))
-            return
-        half = len(lines) // 2
-        yield from bisect(lines.slice(0, half), formed[:half], contract, start)
-        yield from bisect(lines.slice(half), formed[half:], contract, start + half)
-
-
 def _types(contracts: tuple[Contract, ...]) -> dict[str, tuple[str, pa.DataType]]:
     return {f: NUMBERS.get(c.checks.get(f, ""), ("string", pa.string())) for c in contracts for f in c.fields}
 
@@ -247,17 +260,13 @@ def parse_lines(raw: DataFrame, contracts: tuple[Contract, ...] = CONTRACTS, blo
 
     def typed(part: pa.RecordBatch, contract: Contract | None) -> Iterator[pa.RecordBatch]:
         lines = part.column("raw_text")
-        pieces = bisect(*plain(lines, contract), contract) if contract else ((i, None) for i in range(part.num_rows))
-        strict: list[tuple[int, tuple]] = []
-        for at, cols in pieces:
-            if cols is None:
-                strict.append((at, diagnose(lines[at].as_py(), contract)))
-            else:
-                yield build(part.slice(at, len(cols[0])), dict(zip(contract.fields, cols, strict=True)), None, None)
-        if strict:
-            rows, said = part.take([at for at, _ in strict]), [x for _, x in strict]
+        good, cols, isolated = parse_block(lines, contract) if contract else ((), [], range(part.num_rows))
+        if len(good):
+            yield build(part.take(pa.array(good)), dict(zip(contract.fields, cols, strict=True)), None, None)
+        if len(isolated):
+            said = [diagnose(lines[int(i)].as_py(), contract) for i in isolated]
             values = {f: [x[2][i] if x[2] else None for x in said] for i, f in enumerate(contract.fields)} if contract else {}
-            yield build(rows, {f: pa.array(v, kinds[f][1]) for f, v in values.items()}, [x[0] for x in said], [x[1] for x in said])
+            yield build(part.take(pa.array(isolated, pa.int64())), {f: pa.array(v, kinds[f][1]) for f, v in values.items()}, [x[0] for x in said], [x[1] for x in said])
 
     def build(rows: pa.RecordBatch, cols: dict[str, pa.Array], reason, where) -> pa.RecordBatch:
         n = rows.num_rows

@@ -57,6 +57,29 @@ SQL["p1_found"] = f"SELECT line_id FROM ({_LEG_LINES}) WHERE ({LEG_OK}) IS NOT T
 SQL["p1_legs"] = f"SELECT line_id, file_name, line_no, {', '.join(c if c != 'passengers' else 'CAST(passengers AS DOUBLE) AS passengers' for c in LEG)} FROM ({_LEG_LINES}) WHERE {LEG_OK}"
 SQL["p1_daily_od"] = f"SELECT line_id, file_name, line_no, date, CAST(hour AS INT) AS hour, origin_stop_id, destination_stop_id, CAST(passengers AS DOUBLE) AS passengers FROM ({_OD_LINES}) WHERE {OD_OK}"
 
+_F = '(?:[^",]*|"(?:[^"]|"")*")'
+_TOLD = {"date": "not a real date", "hour": "not an hour 0-23", "time": "unreadable time", "stop": "not a nine-digit stop id", "pos": "not a number above 0", "filled": "never"}
+
+
+def _check(kind: str, c: str) -> str:
+    return {"date": f"{_DATE.format(c)}{real_date(c)}", "hour": f"regexp_full_match({c},'[0-9]{{1,2}}') AND try_cast({c} AS INT)<24", "time": f"{readable(c)} IS NOT NULL", "stop": _STOP.format(c), "pos": _POS, "filled": f"{c}<>''"}[kind]
+
+
+def _reasons(feed: str, n: int, names: list[str], checks: dict[str, str]) -> str:
+    """Reason and field of each bad line: its form first, then the first field that fails."""
+    commas = f"len(string_split(regexp_replace(l,'\"(?:[^\"]|\"\")*\"','','g'),','))"
+    form = f"""CASE WHEN raw_text IS NULL THEN 'no line' WHEN regexp_matches(l,'^(?:{_F},)*"(?:[^"]|"")*$') THEN 'quote not closed' WHEN regexp_matches(l,'^(?:{_F},)*"(?:[^"]|"")*"[^,"]') THEN 'text after a closing quote'
+    WHEN regexp_matches(l,'^(?:{_F},)*[^",]+"') THEN 'quote inside an open field' WHEN {commas}<{n} THEN 'too few fields' WHEN {commas}>{n} THEN 'too many fields' END"""
+    at = "CASE " + " ".join(f"WHEN ({_check(k, c)}) IS NOT TRUE THEN '{c}'" for c, k in checks.items()) + " END"
+    why = "CASE field " + " ".join(f"WHEN '{c}' THEN CASE WHEN {c}='' THEN 'empty' ELSE '{_TOLD[k]}' END" for c, k in checks.items()) + " END"
+    cols = ", ".join(f"{_field(i)} AS {c}" for i, c in enumerate(names))
+    return f"SELECT '{feed}' AS feed, coalesce(form, {why}) AS reason, field FROM (SELECT *, CASE WHEN form IS NULL THEN {at} END AS field FROM (SELECT *, {form} AS form, {cols} FROM (SELECT *, regexp_replace(raw_text,'\r$','') AS l FROM raw_lines WHERE feed='{feed}'))) WHERE form IS NOT NULL OR field IS NOT NULL"
+
+
+_LEG_WHY = _reasons("legs", 13, LEG, {"service_date": "date", "card_id": "filled", "transfer_id": "filled", "ride_dtm": "time", "origin_stop_id": "stop", "destination_stop_id": "stop", "passengers": "pos"})
+_OD_WHY = _reasons("daily_od", 5, OD, {"date": "date", "hour": "hour", "origin_stop_id": "stop", "destination_stop_id": "stop", "passengers": "pos"})
+SQL["p1_reasons"] = f"SELECT feed, reason, field, count(*) AS n_lines FROM ({_LEG_WHY} UNION ALL {_OD_WHY}) GROUP BY 1,2,3"
+
 
 def _totals(name: str, key: str) -> str:
     return f"SELECT '{name}' AS table_name, {key} AS key_value, count(*) AS n_rows, CAST(sum(CASE WHEN NOT isnan(passengers) THEN CAST(passengers AS DECIMAL(28,6)) END) AS DOUBLE) AS total FROM {name} GROUP BY 2"
