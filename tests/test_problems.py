@@ -83,7 +83,7 @@ def test_orphans_in_any_order(spark):
     for plan in itertools.permutations(["r1", "r2", "e1", "e2"], 4):
         if plan[0] > plan[1]:
             continue
-        s = OrphanState(spark, keep=lambda df: spark.createDataFrame(df.collect(), df.schema))
+        s = OrphanState(spark, buckets=2)
         for step in plan:
             half = F.abs(F.hash("key", "day" if step[0] == "r" else "from_day")) % 2 == int(step[1]) - 1
             s.advance(refs=r.filter(half | F.col("key").isNull() & (F.lit(step[1]) == "1"))) if step[0] == "r" else s.advance(events=events.filter(half))
@@ -102,6 +102,13 @@ def test_orphans_resolve_and_reopen(spark):
     assert s.advance(events=ev(("a", "20260306", -1))).pending().count() == 0
     assert s.advance(events=ev(("a", "20260305", -1))).pending().count() == 1
     assert s.advance(refs=ref.limit(0), events=ev(("b", "", 1))).pending().count() == 1
+    old = s.snapshot()
+    again = OrphanState(spark, s.path)
+    assert again.batch == 5 and again.pending().count() == 1
+    for _ in range(4):  # beyond a new base
+        again.advance(refs=ref)
+    assert again.base == 8 and again.advance(events=ev(("a", "20260305", 1))).pending().count() == 0
+    assert [(r.n_refs, r.n_orphans) for r in again.snapshot().collect()] == [(5, 0)] and [(r.n_refs, r.n_orphans) for r in old.collect()] == [(1, 1)]
 
 
 def _merge(iv):
@@ -139,7 +146,7 @@ def test_orphan_batches_cover_all(spark):
     events = spark.createDataFrame([("a", "", 1), ("b", "20260310", 1), ("c", "20990101", 1)], "key string, from_day string, change long")
     rows = [("a", "20260301"), ("b", "20260301"), ("b", "20260311"), ("c", "20260301")]
     for times in ([None] * 4, [None, dt.date(1970, 1, 1), dt.date(2026, 3, 2), dt.date(2099, 1, 1)], [dt.date(2026, 3, 2)] * 4):
-        refs = spark.createDataFrame([(*r, t) for r, t in zip(rows, times, strict=True)], "key string, day string, loaded_on date")
+        refs = spark.createDataFrame([("f", *r, t) for r, t in zip(rows, times, strict=True)], "field_name string, key string, day string, loaded_on date")
         s = _orphan_state(refs, events)
         assert {(r.key, r.day) for r in s.pending().collect()} == {("b", "20260301"), ("c", "20260301")}
         assert sum(r.n_refs for r in s.snapshot().collect()) == 4

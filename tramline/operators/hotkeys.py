@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.session import checkpointed
+
 
 def key_totals(df: DataFrame, name: str, key: Column, measure: Column) -> DataFrame:
     """table_name, key_value, n_rows, total per key; partial states are combined before the shuffle."""
@@ -27,7 +29,8 @@ def key_totals(df: DataFrame, name: str, key: Column, measure: Column) -> DataFr
 
 def heavy_keys(totals: list[DataFrame], share: float) -> DataFrame:
     """Keys with at least that share of all rows of their table; the rows without an id count in the whole."""
-    keys = reduce(DataFrame.unionByName, totals)
+    # A row per distinct key: kept, so that the tables are read once for their keys and their size.
+    keys = checkpointed(reduce(DataFrame.unionByName, totals))
     # One row per table: bounded by the length of the list.
     whole = keys.groupBy("table_name").agg(F.sum("n_rows").alias("_all"))
     held = keys.join(F.broadcast(whole), "table_name")

@@ -1,28 +1,40 @@
 """References to records that do not exist, kept as an incrementally maintained state.
 
-The state has one row per referenced (key, day) with the number of parent rows alive on
-it; zero means that the references wait as orphans. A batch brings references and parent
-events. New references probe the parent index; parents that arrive raise the count of
-waiting rows and so resolve them; deletions lower it and reopen them. The state grows with
-distinct keys and days, never with the references, so hot keys stay one row a day.
+The state has one row per field, referenced key and day with the number of parent rows
+alive on it; zero means that the references wait as orphans. A batch brings references and
+parent events. New references probe the parent index; parents that arrive raise the count
+of waiting rows and so resolve them; deletions lower it and reopen them. The state grows
+with distinct keys and days, never with the references, so hot keys stay one row a day.
+
+State and index are tables of changes in a shared folder, in buckets by key. A batch reads
+only the buckets of its keys and appends what it changes; every COMPACT batches the changes
+are folded to a new base. A folder that holds a state is taken up where it stood, and a
+batch that was cut off does not count.
 
 Parent events are (key, from_day, change): +1 from the day of registration, -1 from the
 day of retirement. A parent with an empty validity has no events.
 
-Defined cases: references without key or day are no cases; repeated references count in
-n_refs but are one state row; parents may repeat and overlap; empty batches and tables
-leave the state as it is; columns other than those named are not read.
+Defined cases: references without key or day are no cases; references without field_name
+share the field null; repeated references count in n_refs but are one state row; parents
+may repeat and overlap; empty batches and tables leave the state as it is; columns other
+than those named are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.session import checkpointed
+from tramline.session import ensure_checkpoint_dir, remove_at_end
 
-STATE = "key string, day string, n_refs long, live long"
-INDEX = "key string, from_day string, change long"
+STATE = "field_name string, key string, day string, n_refs long, live long, bucket int"
+INDEX = "key string, from_day string, change long, bucket int"
+ROW = ["field_name", "key", "day"]
+#: Batches after which changes are folded to a base.
+COMPACT = 8
 
 
 def parent_events(parents: DataFrame, key: Column, since: Column, until: Column) -> DataFrame:
@@ -33,42 +45,89 @@ def parent_events(parents: DataFrame, key: Column, since: Column, until: Column)
 
 
 class OrphanState:
-    """Parent index and pending references after some batches."""
+    """Parent index and pending references after some batches; path names the folder, by default a new one that ends with the session."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
+        self.spark, self.buckets = spark, buckets
+        self.path = path or f"{ensure_checkpoint_dir(spark)}/orphans-{uuid.uuid4().hex}"
+        if path is None:
+            remove_at_end(spark, self.path)
+        self.base, self.batch = self._stood("base"), self._stood("batch")
+
+    def _stood(self, kind: str) -> int:
+        """The number of the last batch, or base, that was written whole; 0 for none."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+        whole = [d.getName() for d in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))]
+        return max([int(n.rsplit("-", 1)[1]) for n in whole if n.startswith(kind)], default=0)
+
+    def _read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The changes since the last base and the base, of some buckets or all."""
+        schema = STATE if table == "state" else INDEX
+        names = [f"base-{self.base}"] * (self.base > 0) + [f"batch-{n}" for n in range(self.base + 1, self.batch + 1)]
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{n}") for n in names]
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+
+    def _write(self, rows: DataFrame, table: str, name: str) -> None:
+        rows.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{name}")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        """Numbers of buckets, of which there are self.buckets."""
+        return [r.bucket for r in rows.select("bucket").distinct().collect()]
 
-    def __init__(self, spark: SparkSession, keep=checkpointed):
-        self.index = spark.createDataFrame([], INDEX)
-        self.state = spark.createDataFrame([], STATE)
-        self.keep = keep
+    @staticmethod
+    def _folded(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*ROW, "bucket").agg(F.sum("n_refs").alias("n_refs"), F.sum("live").alias("live"))
 
     def advance(self, refs: DataFrame | None = None, events: DataFrame | None = None) -> OrphanState:
-        """Fold in a batch: refs (key, day), events (key, from_day, change)."""
-        known = self.state
+        """Fold in a batch: refs (key, day and, if there is one, field_name and the number n of such references), events (key, from_day, change)."""
+        changes, n = [], self.batch + 1
+        none = lambda c: F.lit(0).cast("long").alias(c)
+        came = self.spark.createDataFrame([], INDEX)
         if events is not None:
-            events = events.groupBy("key", "from_day").agg(F.sum("change").alias("change")).filter("change <> 0")
-            self.index = self.index.unionByName(events)
-            hits = self._live(known.select("key", "day"), events)
-            known = known.unionByName(hits.select("key", "day", F.lit(0).cast("long").alias("n_refs"), "live"))
+            came = events.groupBy("key", "from_day").agg(F.sum("change").alias("change")).filter("change <> 0").select("key", "from_day", "change", self._bucket())
+        self._write(came, "index", f"batch-{n}")
+        came = self.spark.read.schema(INDEX).parquet(f"{self.path}/index/batch-{n}")
+        if events is not None and (touched := self._touched(came)):
+            known = self._folded(self._read("state", touched)).select(*ROW)
+            changes.append(self._live(known, came).select(*ROW, none("n_refs"), "live"))
         if refs is not None:
-            batch = refs.filter("key is not null and day is not null").groupBy("key", "day").agg(F.count(F.lit(1)).alias("n_refs"))
-            new = batch.join(self.state.select("key", "day"), ["key", "day"], "left_anti")
-            probed = self._live(new.select("key", "day"), self.index)
-            known = known.unionByName(batch.select("key", "day", "n_refs", F.lit(0).cast("long").alias("live"))).unionByName(probed.select("key", "day", F.lit(0).cast("long").alias("n_refs"), "live"))
-        self.state = self.keep(known.groupBy("key", "day").agg(F.sum("n_refs").alias("n_refs"), F.sum("live").alias("live")))
-        if events is not None:
-            self.index = self.keep(self.index.groupBy("key", "from_day").agg(F.sum("change").alias("change")))
+            given = [F.col("field_name") if "field_name" in refs.columns else F.lit(None).cast("string").alias("field_name"), F.col("key"), F.col("day"), F.col("n") if "n" in refs.columns else F.lit(1).alias("n")]
+            batch = refs.select(*given).filter("key is not null and day is not null").groupBy(*ROW).agg(F.sum("n").cast("long").alias("n_refs"))
+            known = self._folded(self._read("state")).select(*(F.col(c).alias(f"_{c}") for c in ROW))
+            new = batch.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW], "left_anti").select(*ROW)
+            changes += [batch.select(*ROW, "n_refs", none("live")), self._live(new, self._read("index").unionByName(came)).select(*ROW, none("n_refs"), "live")]
+        rows = reduce(DataFrame.unionByName, changes) if changes else self.spark.createDataFrame([], STATE).drop("bucket")
+        self._write(self._folded(rows.select("*", self._bucket())), "state", f"batch-{n}")
+        self.batch = n
+        if n - self.base >= COMPACT:
+            self._write(self._read("index").groupBy("key", "from_day", "bucket").agg(F.sum("change").alias("change")), "index", f"base-{n}")
+            self._write(self._folded(self._read("state")), "state", f"base-{n}")
+            self.base = n
         return self
 
     @staticmethod
     def _live(rows: DataFrame, events: DataFrame) -> DataFrame:
-        """Per (key, day) the sum of the changes in force; an equi-join on the key, a parent has few events."""
-        met = rows.join(events, "key").filter(F.col("from_day") <= F.col("day"))
-        return met.groupBy("key", "day").agg(F.sum("change").alias("live"))
+        """Per row the sum of the changes in force; an equi-join on the key, a parent has few events."""
+        met = rows.join(events.select("key", "from_day", "change"), "key").filter(F.col("from_day") <= F.col("day"))
+        return met.groupBy(*ROW).agg(F.sum("change").alias("live"))
+
+    def current(self) -> DataFrame:
+        """field_name, key, day, n_refs, live."""
+        return self._folded(self._read("state")).drop("bucket")
 
     def pending(self) -> DataFrame:
-        """Keys and days whose references wait for a parent."""
-        return self.state.filter("live <= 0").select("key", "day", "n_refs")
+        """Fields, keys and days whose references wait for a parent."""
+        return self.current().filter("live <= 0").select(*ROW, "n_refs")
 
     def snapshot(self) -> DataFrame:
-        """Per day: references, and those of them that are orphans."""
+        """Per field and day: references, and those of them that are orphans; as of now, also if read after later batches."""
         orphan = F.when(F.col("live") <= 0, F.col("n_refs")).otherwise(0)
-        return self.state.groupBy("day").agg(F.sum("n_refs").alias("n_refs"), F.sum(orphan).alias("n_orphans"))
+        return self.current().groupBy("field_name", "day").agg(F.sum("n_refs").alias("n_refs"), F.sum(orphan).alias("n_orphans"))

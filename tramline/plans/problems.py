@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tramline.functions.clean import clean_id, clean_route, readable_time, service_day
 from tramline.operators import drift, hotkeys, intervals, rejects
 from tramline.operators.orphans import OrphanState, parent_events
-from tramline.session import small, table
+from tramline.session import checkpointed, small, table
 
 HEAVY_SHARE = 0.02
 
@@ -80,53 +79,46 @@ def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return refs.select("trip_hash", "field_name", "key", "day", "loaded_on"), parent_events(stops, F.col("stop"), F.col("a"), F.col("z"))
 
 
-def _orphan_state(refs: DataFrame, events: DataFrame, step_days: int = 31, most: int = 6, each=lambda state, until: None) -> OrphanState:
-    """Batches as they come in: references by the day they were loaded, parent events by the day from which they hold.
+def _orphan_state(refs: DataFrame, events: DataFrame, each=lambda state, until: None) -> OrphanState:
+    """A batch for every month in which references were loaded; parent events come with the month from which they hold, the last batch has the rest.
 
-    A batch spans step_days, or more where the time of loading is so long that there were more than most of them; references without a time of loading come first.
-    each is called after every batch with the state and the batch's last day of loading.
+    refs (field_name, key, day, loaded_on) are counted once; references without a time of loading come first.
+    each is called after every batch with the state and the last day of loading among the references so far.
     """
-    lo, hi = refs.agg(F.min("loaded_on"), F.max("loaded_on")).first()
-    state = OrphanState(refs.sparkSession)
-    if lo is None:
-        state.advance(refs.select("key", "day"), events)
-        each(state, None)
-        return state
-    step = dt.timedelta(max(step_days, -(-((hi - lo).days + 1) // most)))
-    on = F.coalesce("loaded_on", F.lit(lo))
-    cuts = [None]
-    while (cut := (cuts[-1] or lo) + step) <= hi:
-        cuts.append(cut)
-    for a, z in zip(cuts, [*cuts[1:], None], strict=True):
-        r, e = refs, events
-        if a is not None:
-            r, e = r.filter(on >= F.lit(a)), e.filter(F.col("from_day") >= f"{a:%Y%m%d}")
-        if z is not None:
-            r, e = r.filter(on < F.lit(z)), e.filter(F.col("from_day") < f"{z:%Y%m%d}")
-        state.advance(r.select("key", "day"), e)
-        each(state, hi if z is None else z - dt.timedelta(1))
+    month = F.trunc("loaded_on", "month").alias("month")
+    counted = checkpointed(refs.groupBy("field_name", "key", "day", month).agg(F.count(F.lit(1)).alias("n"), F.max("loaded_on").alias("last")))
+    # One row per month.
+    months = counted.groupBy("month").agg(F.max("last").alias("last")).orderBy(F.col("month").asc_nulls_first()).collect() or [None]
+    state, since = OrphanState(refs.sparkSession), ""
+    for k, m in enumerate(months):
+        batch = counted.filter(F.col("month").eqNullSafe(F.lit(m.month).cast("date"))) if m else counted
+        until = f"{months[k + 1].month:%Y%m%d}" if k + 1 < len(months) else None
+        e = events.filter(F.col("from_day") >= since)
+        state.advance(batch.select("field_name", "key", "day", "n"), e if until is None else e.filter(F.col("from_day") < until))
+        since = until
+        each(state, m and m.last)
     return state
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     refs, events = _references(spark, sf)
-    waiting = _orphan_state(refs, events).pending().select("key", "day")
-    return refs.join(F.broadcast(waiting) if small(waiting) else waiting, ["key", "day"], "left_semi").select("trip_hash", "field_name").distinct()
+    waiting = checkpointed(_orphan_state(refs, events).pending().select("field_name", "key", "day"))
+    # Beyond 32 MB of waiting keys both sides shuffle.
+    waiting = F.broadcast(waiting) if waiting.count() * 96 < 32 << 20 else waiting
+    return refs.join(waiting, ["field_name", "key", "day"], "left_semi").select("trip_hash", "field_name").distinct()
 
 
 def p5_by_day(spark: SparkSession, sf: str) -> DataFrame:
-    """References and orphans by field and service date."""
+    """References and orphans by field and service date, as the last snapshot has them."""
     refs, events = _references(spark, sf)
-    waiting = _orphan_state(refs, events).pending().select("key", "day", F.lit(1).alias("orphan"))
-    counted = refs.groupBy("field_name", "key", "day").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(waiting, ["key", "day"], "left").groupBy("field_name", F.col("day").alias("service_date")).agg(F.sum("n").alias("n_refs"), F.sum(F.when(F.col("orphan") == 1, F.col("n")).otherwise(0)).alias("n_orphans"))
+    return _orphan_state(refs, events).snapshot().withColumnRenamed("day", "service_date")
 
 
 def p5_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """References and orphans by day after every batch; loaded_until is the batch's last day of loading."""
+    """References and orphans by field and day after every batch; loaded_until is the last day of loading so far."""
     refs, events = _references(spark, sf)
     taken: list[DataFrame] = []
-    _orphan_state(refs, events, each=lambda state, until: taken.append(state.snapshot().select(F.lit(until).cast("date").alias("loaded_until"), F.col("day").alias("service_date"), "n_refs", "n_orphans")))
+    _orphan_state(refs, events, lambda state, until: taken.append(state.snapshot().select(F.lit(until).cast("date").alias("loaded_until"), "field_name", F.col("day").alias("service_date"), "n_refs", "n_orphans")))
     return reduce(DataFrame.unionByName, taken)
 
 

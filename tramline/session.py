@@ -45,12 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-")
-        _remove_at_end(spark, path)
+        remove_at_end(spark, path)
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def _remove_at_end(spark: SparkSession, path: str) -> None:
+def remove_at_end(spark: SparkSession, path: str) -> None:
     """Hadoop removes the folder when the driver's JVM ends; results may be read until then."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -66,7 +66,7 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder, in folders by the columns given; unlike a checkpoint it is compressed and read by column."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
-    _remove_at_end(df.sparkSession, path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
