@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tramline.functions.clean import clean_id, clean_route, readable_time, service_day
 from tramline.operators import drift, hotkeys, intervals, rejects
 from tramline.operators.orphans import OrphanState, parent_events
-from tramline.session import checkpointed, small, table
+from tramline.session import checkpointed, sent, small, table
 
 HEAVY_SHARE = 0.02
 
@@ -102,9 +102,7 @@ def _orphan_state(refs: DataFrame, events: DataFrame, each=lambda state, until:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     refs, events = _references(spark, sf)
-    waiting = checkpointed(_orphan_state(refs, events).pending().select("field_name", "key", "day"))
-    # Beyond 32 MB of waiting keys both sides shuffle.
-    waiting = F.broadcast(waiting) if waiting.count() * 96 < 32 << 20 else waiting
+    waiting = sent(_orphan_state(refs, events).pending().select("field_name", "key", "day"), 96)
     return refs.join(waiting, ["field_name", "key", "day"], "left_semi").select("trip_hash", "field_name").distinct()
 
 

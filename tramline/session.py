@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -78,3 +79,9 @@ def plan_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
     """True if the estimate proves that a broadcast of df stays under limit_bytes."""
     return plan_bytes(df) <= limit_bytes
+
+
+def sent(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
+    """df, checkpointed and counted: marked for broadcast if its rows stay under limit_bytes, else left to shuffle."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
