@@ -53,3 +53,34 @@ def test_weights_make_inclusion_unequal(spark):
     got = mixing.mix(s, p, weight="quality").collect()
     n = [sum(r.doc_id % 4 == k for r in got) for k in range(4)]
     assert len(got) == 1600 and n[0] == 0 and n[1] < n[2] < n[3] and n[3] > 2.5 * n[2]
+
+
+def test_inclusion_rates_match_the_odds(spark):
+    """Over many seeds each document is chosen as often as its weight says, capped ones always, and every sample has the target's size."""
+    weights = [1, 2, 4, 8, 16, 400]
+    s = spark.createDataFrame([(i, "a", 10, float(weights[i % 6])) for i in range(120)], SIZES + ", quality double")
+    p = mixing.plan(s, spark.createDataFrame([("a", 0.5, 1)], TARGETS))
+    n = [0] * 6
+    for seed in range(40):
+        got = mixing.mix(s, p, seed=seed, weight="quality").collect()
+        assert len(got) == 60 and {r.repeats for r in got} == {1}
+        for r in got:
+            n[r.doc_id % 6] += 1
+    # 400 is capped at once; the other 40 of 60 are spread by weight: 16 and then 8 would pass 1, too.
+    rates = [k / (40 * 20) for k in n]
+    assert rates[5] == 1.0
+    want = [c / 31 * 2 for c in (1, 2, 4, 8, 16)]
+    while max(want) > 1:  # plain water filling
+        full = [x >= 1 for x in want]
+        left = 2 - sum(full)
+        free = sum(w for w, f in zip(weights, full) if not f)
+        want = [1.0 if f else left * w / free for w, f in zip(weights, full)]
+    for got_rate, w in zip(rates, want):
+        assert abs(got_rate - w) < 0.08, (rates, want)
+
+
+def test_capped_documents_leave_the_rest_to_others(spark):
+    s = spark.createDataFrame([(0, "a", 100, 1e6)] + [(i, "a", 10, 1.0) for i in range(1, 91)] + [(100, "a", 5, float("nan")), (101, "a", 5, None), (102, "a", 5, float("inf")), (103, "a", 5, -1.0)], SIZES + ", quality double")
+    p = mixing.plan(s, spark.createDataFrame([("a", 1.0, 3)], TARGETS), total_tokens=1200)
+    got = {r.doc_id: r.repeats for r in mixing.mix(s, p, weight="quality").collect()}
+    assert got[0] == 3 and all(i < 100 for i in got) and sum(10 * n for i, n in got.items() if i) == 900

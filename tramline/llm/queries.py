@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.llm import bpe, mixing, spam, topn
-from tramline.session import checkpointed, table
+from tramline.session import checkpointed, sent, table
 
 TOP = 5
 
@@ -28,10 +28,13 @@ def p7_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The mix and its plan; longer documents are expected more often, in proportion to their tokens. Only target sources are tokenized."""
+    given = table(spark, sf, "mix_targets")
     docs = table(spark, sf, "documents").withColumn("source", mixing.source_key("source"))
+    docs = docs.join(sent(mixing.targets_of(given).select("source"), 64), "source", "left_semi")
     sizes = checkpointed(bpe.count_tokens(docs, ["doc_id", "source"], "text"))
-    planned = mixing.plan(sizes, table(spark, sf, "mix_targets"))
-    return mixing.mix(sizes, planned), planned
+    planned = checkpointed(mixing.plan(sizes, given))
+    return mixing.mix(sizes, planned, weight="n_tokens"), planned
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,6 +45,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf))
 
 
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source what holds of any right mix: documents to choose from, no more repeats than the cap, the target met or all used up, actual shares adding up to 1."""
+    mixed, planned = _mixed(spark, sf)
+    longest = mixed.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    s = mixing.shares(mixed, planned).join(longest, "source", "left")
+    goal = F.least(F.col("target_tokens"), F.col("max_repeats") * F.col("available_tokens"))
+    whole = F.abs(F.sum("actual_share").over(Window.partitionBy()) - 1) < 1e-9
+    return s.select("source", "target_share", "max_repeats", "available_docs", (F.coalesce("most_repeats", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("actual_tokens") - goal) <= F.coalesce("longest", F.lit(0)) + 1).alias("on_target"), whole.alias("whole"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spam.found(table(spark, sf, "documents")).select("doc_id")
 
@@ -52,7 +65,7 @@ def p9_curves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p7_ids, p7_text, p8_mix, p8_shares, p9_found, p9_curves)}
+    return {f.__name__: f for f in (p2_found, p7_ids, p7_text, p8_mix, p8_shares, p8_kept, p9_found, p9_curves)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,5 +73,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""SELECT od_index, hour, signature FROM (SELECT *, row_number() OVER (PARTITION BY od_index, hour
             ORDER BY o DESC, total_time NULLS LAST, transfers NULLS LAST, signature) AS k FROM (SELECT DISTINCT od_index, hour, signature, total_time, transfers,
             CASE WHEN observed_passengers_train IS NULL OR isnan(observed_passengers_train) THEN 0 ELSE observed_passengers_train END AS o FROM candidate_pool)) WHERE k <= {TOP}""",
+        "p8_kept": """WITH t AS (SELECT lower(trim(source)) AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1),
+            d AS (SELECT lower(trim(source)) AS source, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1)
+            SELECT source, target_share, max_repeats, coalesce(n, 0) AS available_docs, true AS within_cap, true AS on_target, true AS whole FROM t LEFT JOIN d USING (source)""",
         "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
