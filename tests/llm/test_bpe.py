@@ -79,3 +79,25 @@ def test_on_spark(spark, library):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df, "doc_id", "text"), "doc_id", "ids").collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_fed_in_parts(enc, library):
+    """Any cut of bytes or text gives the ids of the whole; the transducer's tables may start anew on the way."""
+    rng = random.Random(6)
+    for _ in range(200):
+        s = "".join(rng.choices([*PARTS, "'", "'r", "e", "l", "don", "   "], k=rng.randint(0, 30)))
+        e, out, i = bpe.StreamEncoder(enc), [], 0
+        while i < len(s):
+            n = rng.choice([1, 2, 5, 40])
+            out += e.feed(s[i : i + n])
+            i += n
+        assert out + e.end() == library(s)
+    t, word = bpe.Transducer(enc.vocabulary), "".join(rng.choices("etaoinshrdlu", k=4000))
+    assert [x for k in range(0, 4000, 7) for x in t.feed(word[k : k + 7].encode())] + t.end() == library(word)
+
+
+def test_transducer_starts_anew_while_fed(enc, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_KEPT", 20)
+    t, word = bpe.Transducer(enc.vocabulary), "".join(random.Random(8).choices("abcdefgh", k=2000))
+    assert [x for k in range(0, 2000, 5) for x in t.feed(word[k : k + 5].encode())] + t.end() == library(word)
+    assert len(t.states) < 60

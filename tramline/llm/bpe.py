@@ -60,6 +60,8 @@ class Vocabulary:
         k = (left, token)
         if (ok := self._may.get(k)) is None:
             before = self.bytes_of[left] if left >= 0 else b""
+            if len(self._may) > MAX_KEPT:
+                self._may.clear()
             ok = self._may[k] = self.merged(before + self.bytes_of[token]) == ([left, token] if left >= 0 else [token])
         return ok
 
@@ -77,6 +79,7 @@ class Transducer:
         self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", (0,))]
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.finals: list[tuple[int, ...] | None] = [()]
+        self.at = 0
 
     def _token(self, state: tuple, start: int, end: int) -> int:
         return self.v.ids[state[1][start:end]]
@@ -132,19 +135,31 @@ class Transducer:
             out = self.finals[s] = tuple(self._token(state, a, z) for a, z in self._path(state, len(state[1])))
         return out
 
-    def encode(self, piece: bytes) -> list[int]:
-        """The tokens of one piece."""
-        if len(self.states) > MAX_KEPT:
+    def feed(self, data: bytes) -> list[int]:
+        """The tokens that these bytes make certain."""
+        if len(self.states) > MAX_KEPT:  # start anew from the state at hand
+            here = self.states[self.at]
             self._clear()
-        s, out, arcs = 0, [], self.arcs
-        for byte in piece:
+            self.at = self._add(*here)
+        s, out, arcs = self.at, [], self.arcs
+        for byte in data:
             arc = arcs[s].get(byte) or self.step(s, byte)
             s = arc[0]
             if arc[1]:
                 out.extend(arc[1])
-        out.extend(self.final(s))
+        self.at = s
+        return out
+
+    def end(self) -> list[int]:
+        """The tokens left at the end of a piece."""
+        out, self.at = list(self.final(self.at)), 0
         return out
 
+    def encode(self, piece: bytes) -> list[int]:
+        """The tokens of one piece."""
+        self.at = 0
+        return self.feed(piece) + self.end()
+
 
 class Encoder(dict):
     """Piece of text -> its ids as packed 32-bit integers; kept pieces are found at once."""
@@ -175,6 +190,30 @@ def encoder(raw: bytes) -> Encoder:
     return Encoder(Vocabulary(raw))
 
 
+class StreamEncoder:
+    """Text in, ids out as soon as its pieces are certain: all but the last piece and the last LOOK characters, which what follows may join."""
+
+    LOOK = 3
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.cut, self.held = encoder, regex.compile(PATTERN), ""
+
+    def feed(self, text: str) -> list[int]:
+        self.held += text
+        out, done, last = [], 0, None
+        for m in self.cut.finditer(self.held):
+            if last is not None and last.end() <= len(self.held) - self.LOOK:
+                out.append(self.encoder[last[0]])
+                done = last.end()
+            last = m
+        self.held = self.held[done:]
+        return np.frombuffer(b"".join(out), np.int32).tolist()
+
+    def end(self) -> list[int]:
+        out, self.held = self.encoder.ids(self.held), ""
+        return out
+
+
 class StreamDecoder:
     """Ids in, text out as soon as its characters are whole; bytes that are no UTF-8 become U+FFFD."""
 
