@@ -3,10 +3,10 @@
 import pytest
 from compare import compare
 
-from tramline.plans import choice, oracle, paths, problems, stream, transit
+from tramline.plans import candidates, choice, days, oracle, paths, problems, stream, transit
 
-QUERIES, SQL = {}, oracle.SQL | choice.SQL | transit.SQL | paths.SQL | stream.SQL
-for m in (choice, transit, paths, stream, problems):
+QUERIES, SQL = {}, oracle.SQL | choice.SQL | transit.SQL | paths.SQL | days.SQL | candidates.SQL | stream.SQL
+for m in (choice, transit, paths, days, candidates, stream, problems):
     QUERIES |= m.queries()
 
 
@@ -17,7 +17,8 @@ def test_same_as_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL))
 def test_has_rows(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+    # The smallest tables have no pair of stops that a generated path joins.
+    assert QUERIES[name](spark, sf.replace("sf0.001", "sf0.01") if name == "candidate_paths_whole" else sf).count() > 0
 
 
 def test_entry(spark):

@@ -19,9 +19,9 @@ def utility(beta: dict[str, float]) -> Column:
     return sum((F.lit(float(b)) * F.col(c) for c, b in beta.items()), F.lit(0.0))
 
 
-def softmax(df: DataFrame, keys: list[str], u: str, p: str = "p") -> DataFrame:
-    """Probability of each row in its group, stable by the group's greatest utility."""
-    df = beside(df, keys, __max=F.max(u))
+def softmax(df: DataFrame, keys: list[str], u: str, p: str = "p", **more: Column) -> DataFrame:
+    """Probability of each row in its group, stable by the group's greatest utility; more: other aggregates of the group that the same pass gives."""
+    df = beside(df, keys, __max=F.max(u), **more)
     df = df.withColumn("__e", F.exp(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col(u) - F.col("__max")))))
     return beside(df, keys, __sum=F.sum("__e")).withColumn(p, F.col("__e") / F.col("__sum")).drop("__max", "__e", "__sum")
 

@@ -73,52 +73,58 @@ class OrphanState:
         return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def _write(self, rows: DataFrame, table: str, name: str) -> None:
-        rows.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{name}")
+        """rows are partitioned by bucket already."""
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/{name}")
+
+    def _by_bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "bucket")
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _touched(self, rows: DataFrame) -> list[int]:
-        """Numbers of buckets, of which there are self.buckets."""
-        return [r.bucket for r in rows.select("bucket").distinct().collect()]
+    def _touched(self, table: str, name: str) -> list[int]:
+        """The buckets in which a table of changes has rows, by its folders."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{name}")
+        names = (s.getPath().getName() for s in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p))
+        return [int(n.split("=")[1]) for n in names if n.startswith("bucket=")]
 
     @staticmethod
     def _folded(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*ROW, "bucket").agg(F.sum("n_refs").alias("n_refs"), F.sum("live").alias("live"))
 
     def advance(self, refs: DataFrame | None = None, events: DataFrame | None = None) -> OrphanState:
-        """Fold in a batch: refs (key, day and, if there is one, field_name and the number n of such references), events (key, from_day, change)."""
-        changes, n = [], self.batch + 1
-        none = lambda c: F.lit(0).cast("long").alias(c)
-        came = self.spark.createDataFrame([], INDEX)
-        if events is not None:
-            came = events.groupBy("key", "from_day").agg(F.sum("change").alias("change")).filter("change <> 0").select("key", "from_day", "change", self._bucket())
+        """Fold in a batch: refs (key, day and, if there is one, field_name and the number n of such references), events (key, from_day, change).
+
+        Known and new rows meet in one shuffle by bucket, which all that follows keeps.
+        """
+        n, none = self.batch + 1, F.lit(None).cast("string")
+        empty = self.spark.createDataFrame([], INDEX)
+        came = empty if events is None else events.select("key", "from_day", "change", self._bucket())
+        came = self._by_bucket(came).groupBy("bucket", "key", "from_day").agg(F.sum("change").alias("change")).filter("change <> 0")
         self._write(came, "index", f"batch-{n}")
         came = self.spark.read.schema(INDEX).parquet(f"{self.path}/index/batch-{n}")
-        if events is not None and (touched := self._touched(came)):
-            known = self._folded(self._read("state", touched)).select(*ROW)
-            changes.append(self._live(known, came).select(*ROW, none("n_refs"), "live"))
+        known = self._read("state", None if refs is not None else self._touched("index", f"batch-{n}"))
+        rows = known.select("bucket", *ROW, F.lit(0).cast("long").alias("n"), F.lit(True).alias("old"))
         if refs is not None:
-            given = [F.col("field_name") if "field_name" in refs.columns else F.lit(None).cast("string").alias("field_name"), F.col("key"), F.col("day"), F.col("n") if "n" in refs.columns else F.lit(1).alias("n")]
-            batch = refs.select(*given).filter("key is not null and day is not null").groupBy(*ROW).agg(F.sum("n").cast("long").alias("n_refs"))
-            known = self._folded(self._read("state")).select(*(F.col(c).alias(f"_{c}") for c in ROW))
-            new = batch.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW], "left_anti").select(*ROW)
-            changes += [batch.select(*ROW, "n_refs", none("live")), self._live(new, self._read("index").unionByName(came)).select(*ROW, none("n_refs"), "live")]
-        rows = reduce(DataFrame.unionByName, changes) if changes else self.spark.createDataFrame([], STATE).drop("bucket")
-        self._write(self._folded(rows.select("*", self._bucket())), "state", f"batch-{n}")
+            given = [F.col("field_name") if "field_name" in refs.columns else none.alias("field_name"), F.col("key"), F.col("day")]
+            batch = refs.select(*given, (F.col("n") if "n" in refs.columns else F.lit(1)).cast("long").alias("n")).filter("key is not null and day is not null")
+            if "n" not in refs.columns:  # counted where they lie before they move
+                batch = batch.groupBy(*ROW).agg(F.sum("n").alias("n"))
+            rows = rows.unionByName(batch.select(self._bucket(), *ROW, "n", F.lit(False).alias("old")))
+        rows = self._by_bucket(rows).groupBy("bucket", *ROW).agg(F.sum("n").alias("n_refs"), F.max("old").alias("old"))
+        # Known rows meet the events that came, new ones all there are; a parent has few.
+        index = self._read("index").withColumn("fresh", F.lit(False)).unionByName(came.withColumn("fresh", F.lit(True))).withColumnsRenamed({"bucket": "_bucket", "key": "_key"})
+        met = (F.col("bucket") == F.col("_bucket")) & (F.col("key") == F.col("_key")) & (F.col("from_day") <= F.col("day")) & (~F.col("old") | F.col("fresh"))
+        live = F.sum(F.coalesce("change", F.lit(0))).alias("live")
+        rows = rows.join(index, met, "left").groupBy("bucket", *ROW).agg(F.max("n_refs").alias("n_refs"), live)
+        self._write(rows.filter("n_refs <> 0 or live <> 0"), "state", f"batch-{n}")
         self.batch = n
         if n - self.base >= COMPACT:
-            self._write(self._read("index").groupBy("key", "from_day", "bucket").agg(F.sum("change").alias("change")), "index", f"base-{n}")
-            self._write(self._folded(self._read("state")), "state", f"base-{n}")
+            self._write(self._by_bucket(self._read("index")).groupBy("bucket", "key", "from_day").agg(F.sum("change").alias("change")), "index", f"base-{n}")
+            self._write(self._folded(self._by_bucket(self._read("state"))), "state", f"base-{n}")
             self.base = n
         return self
 
-    @staticmethod
-    def _live(rows: DataFrame, events: DataFrame) -> DataFrame:
-        """Per row the sum of the changes in force; an equi-join on the key, a parent has few events."""
-        met = rows.join(events.select("key", "from_day", "change"), "key").filter(F.col("from_day") <= F.col("day"))
-        return met.groupBy(*ROW).agg(F.sum("change").alias("live"))
-
     def current(self) -> DataFrame:
         """field_name, key, day, n_refs, live."""
         return self._folded(self._read("state")).drop("bucket")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import choice, network, scoring
 from tramline.operators.groups import beside, top
-from tramline.session import checkpointed, table
+from tramline.session import checkpointed, once, table
 
 GROUP = ["od_index", "hour"]
 PATH = ["od_index", "hour", "signature"]
@@ -26,8 +26,8 @@ def pool(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     seen = F.col("observed_passengers_train")
     rows = table(spark, sf, "candidate_pool").withColumn("observed", F.when(seen.isNull() | F.isnan(seen), 0.0).otherwise(seen))
     rows = rows.select(*PATH, "total_time", "walk_time", F.col("transfers").cast("double").alias("transfers"), "observed", *more)
-    # The signature is unique in a group, so copies agree in all columns.
-    return rows.dropDuplicates(PATH)
+    # The signature is unique in a group and copies agree in all columns, so a hash aggregate over all of them does.
+    return rows.distinct()
 
 
 def with_utility(df: DataFrame) -> DataFrame:
@@ -103,15 +103,19 @@ def rank_share(spark: SparkSession, sf: str, ranks: int = 15) -> DataFrame:
 
 
 def edges_and_paths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Incidence, edge state (tt, trips, load0) and path state (u, p0, demand) derived from the pool."""
+    """Incidence, edge state (tt, trips, load0) and path state (u, p0, demand), derived from the pool once a session."""
+    return once(spark, "edges_and_paths", [f"{sf}/candidate_pool.parquet"], lambda: _edges_and_paths(spark, sf))
+
+
+def _edges_and_paths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = checkpointed(with_utility(pool(spark, sf, "ride_time", "segment_keys")).withColumn("n_edges", F.size(network.edge_tokens("segment_keys"))))
     inc = network.incidence(rows, PATH)
     met = _met(rows)
     n = F.count(F.lit(1))
     edges = met.groupBy(*network.EDGE).agg(F.avg("each").alias("tt"), (1 + n % 20).cast("double").alias("trips"), F.sum("observed").alias("__o"))
     edges = checkpointed(edges.withColumn("load0", F.col("__o") / F.col("trips")).drop("__o"))
-    paths = choice.softmax(rows.select(*PATH, "u", "observed"), GROUP, "u", "p0")
-    paths = checkpointed(beside(paths, GROUP, demand=F.sum("observed")).select(*PATH, "u", "p0", "demand"))
+    paths = choice.softmax(rows.select(*PATH, "u", "observed"), GROUP, "u", "p0", demand=F.sum("observed"))
+    paths = checkpointed(paths.select(*PATH, "u", "p0", "demand"))
     return inc, edges, paths
 
 

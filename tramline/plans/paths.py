@@ -9,7 +9,7 @@ from tramline.functions.clean import clean_id
 from tramline.operators import network, routing, spatial
 from tramline.operators.groups import first_per
 from tramline.plans import choice, oracle, transit
-from tramline.session import checkpointed, table
+from tramline.session import checkpointed, once, table
 
 PATH, LEG = choice.PATH, routing.LEG
 RADIUS = 250.0
@@ -46,6 +46,10 @@ def path_prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _best_legs(spark: SparkSession, sf: str) -> DataFrame:
+    return once(spark, "best_legs", [f"{sf}/candidate_pool.parquet"], lambda: _legs_of_paths(spark, sf))
+
+
+def _legs_of_paths(spark: SparkSession, sf: str) -> DataFrame:
     e = routing.islands(_path_edges(spark, sf), PATH, "pos")
     e = routing.prefix_sums(e, [*PATH, "leg_no"], "pos", "minutes", "run").withColumnRenamed("hour", "__hour").withColumn("hour", F.col("__hour"))
     return checkpointed(routing.best_legs(e, ["od_index", "__hour", "signature", "leg_no"], "pos", "minutes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,24 @@ def sent(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFram
     """df, checkpointed and counted: marked for broadcast if its rows stay under limit_bytes, else left to shuffle."""
     df = checkpointed(df)
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+
+
+_kept: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, name: str, paths: list[str], build: Callable[[], object]):
+    """What build gives, derived once a session from the files below paths; anew if a file has changed."""
+    conf, files = spark._jsc.hadoopConfiguration(), []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            s = found.next()
+            files.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(files)))
+    if key not in _kept:
+        for old in [k for k in _kept if k[0] != key[0]]:  # of a session that has ended
+            del _kept[old]
+        _kept[key] = build()
+    return _kept[key]
