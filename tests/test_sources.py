@@ -29,9 +29,30 @@ def test_delimited_files_of_all_kinds(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("1", "x, y", None, "20260301.csv"), ("2", None, None, "20260301.csv"), ("3", "아침", None, "b.txt"), ("4", "r", None, "c.csv"), ("5", "s", None, "202603.csv")}
 
 
-def test_daily_files_beat_monthly(spark):
-    df = spark.createDataFrame([("x20260301.csv",), ("202603.csv",), ("202602.csv",), ("z.csv",)], "member string").withColumn("file_date", files.file_date())
-    assert {r.file_date for r in files.prefer_daily(df).collect()} == {"20260301", "202602"}
+def test_damage_and_lost_letters_are_told(spark, tmp_path):
+    whole = gzip.compress(b"card_id,RIDE_DTM\n" + b"1,x\n" * 5000)
+    (tmp_path / "cut.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "bad.zip").write_bytes(b"PK broken")
+    (tmp_path / "no.csv").write_text("no,such\n1,2\n")
+    (tmp_path / "ok.csv").write_text("card_id,RIDE_DTM\n1,x\n2,y\n")
+    (tmp_path / "torn.csv").write_bytes("card_id,RIDE_DTM\n1,아침\n".encode() + b"2,\xff\xfe\n")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("good.csv", "card_id,RIDE_DTM\n5," + "w" * 200_000 + "\n")
+    told = {r.source_file.rsplit("/", 1)[-1]: r for r in files.deliveries(spark, str(tmp_path), ALIASES, ["card_id", "ride"]).collect()}
+    assert told["cut.csv.gz"].problem == "damaged: EOFError" and told["bad.zip"].problem == "damaged: BadZipFile" and told["no.csv"].problem == "no header for card_id, ride"
+    assert told["ok.csv"].n_rows == 2 and not told["ok.csv"].replaced and told["z.zip"].n_rows == 1 and told["z.zip"].member == "good.csv"
+    assert told["torn.csv"].problem is None and (told["torn.csv"].replaced or told["torn.csv"].encoding == "latin-1")
+    got = files.read_delimited(spark, str(tmp_path), ALIASES, ["card_id", "ride"])
+    assert sorted({r.source_file.rsplit("/", 1)[-1] for r in got.select("source_file").collect()}) == ["ok.csv", "torn.csv", "z.zip"]
+
+
+def test_daily_files_beat_monthly_by_day(spark):
+    rows = [("d20260301.csv", "20260301", 1), ("m202603.csv", "20260301", 2), ("m202603.csv", "20260302", 3), ("m202602.csv", "20260228", 4)]
+    df = spark.createDataFrame(rows, "member string, date string, v int").withColumn("file_date", files.file_date())
+    assert {r.v for r in files.prefer_daily(df).collect()} == {1, 3, 4}
+    days = spark.createDataFrame([("20260301",), ("20260302",), ("20260228",), ("20260101",)], "date string")
+    got = files.files_for_days(df.select("member", "file_date").distinct(), days)
+    assert {tuple(r) for r in got.collect()} == {("20260301", "d20260301.csv"), ("20260302", "m202603.csv"), ("20260228", "m202602.csv"), ("20260101", None)}
 
 
 class Service(http.server.BaseHTTPRequestHandler):
@@ -77,6 +98,43 @@ def test_paged_source(spark, service):
     assert not any("d=20260301" in a and "e=1&" not in a for a in Service.asked)
 
 
+class Plain(http.server.BaseHTTPRequestHandler):
+    """47 rows by date, without a count if the address says so; every row but the first has one more field."""
+
+    asked: list[str] = []
+    rows = [{"date": f"202603{1 + i // 5:02d}", "n": i} | ({"late": "x"} if i else {}) for i in range(47)]
+
+    def do_GET(self):
+        q = urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)
+        Plain.asked.append((int(q["s"][0]), int(q["e"][0])))
+        rows = Plain.rows if q["k"][0] != "mixed" else Plain.rows[20:] + Plain.rows[:20]
+        body = {"rows": rows[int(q["s"][0]) - 1 : int(q["e"][0])]} | ({} if q["k"][0] == "bare" else {"total": len(rows)})
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_service_without_count_and_sorted_service(spark):
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Plain)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    paged.register(spark)
+    read = lambda kind, **o: spark.read.format("paged_json").options(url=f"http://127.0.0.1:{s.server_port}/?s={{start}}&e={{end}}&k={kind}", page=4, pause=0.01, **o).load()
+    bare = read("bare")
+    assert bare.columns == ["date", "n", "late"] and sorted(int(r.n) for r in bare.collect()) == list(range(47))
+    for kind in ("sorted", "mixed"):
+        df = read(kind, sorted="true").filter("date >= '20260304' and date <= '20260305'")
+        Plain.asked.clear()
+        assert sorted(int(r.n) for r in df.collect()) == list(range(15, 25))
+        whole = {a for a in Plain.asked if a[1] > a[0]}
+        assert len(whole) <= 5 if kind == "sorted" else len(whole) == 12
+    with pytest.raises(Exception, match="not sorted"):
+        read("mixed", sorted="true", strict="true").filter("date = '20260304'").count()
+    s.shutdown()
+
+
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
     new = spark.createDataFrame([("b", 3.0), ("c", 4.0)], "k string, v double")

@@ -1,4 +1,8 @@
-"""Delimited files as they are delivered: any encoding, delimiter, header spelling; plain, gzip or zip."""
+"""Delimited files as they are delivered: any encoding, delimiter, header spelling; plain, gzip or zip.
+
+Archives are unpacked as they are read, never whole. What cannot be read, or only with
+letters replaced, is told by deliveries().
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,12 @@ import csv
 import gzip
 import io
 import re
+import sys
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,67 +61,127 @@ def sniff(head: bytes, known: str | None = None) -> tuple[str, str, list[str]]:
     return encoding, delimiter, [normal_header(h) for h in next(csv.reader([first], delimiter=delimiter), [])]
 
 
-def encoding_of(data: bytes, step: int = 1 << 20) -> str:
-    """The first encoding of several bytes a letter that reads all of a file; else, where bytes are damaged or single, the one that its beginning shows."""
+DAMAGE = (OSError, EOFError, zlib.error, zipfile.BadZipFile)
+
+
+def _decoded(stream: BinaryIO, encoding: str, errors: str = "strict", step: int = 1 << 20) -> bool:
+    """Whether the encoding reads all of the stream."""
+    decoder = codecs.getincrementaldecoder(encoding)(errors)
+    try:
+        while block := stream.read(step):
+            decoder.decode(block)
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def encoding_of(opened: Callable[[], BinaryIO]) -> tuple[str, bool]:
+    """(encoding, whether it reads every letter): the first of several bytes a letter that reads all of a file; else, where bytes are damaged or single, the one that its beginning shows."""
     for encoding in ENCODINGS[:-1]:
-        decoder = codecs.getincrementaldecoder(encoding)()
-        try:
-            for i in range(0, len(data), step):
-                decoder.decode(data[i : i + step])
-            decoder.decode(b"", final=True)
-        except UnicodeDecodeError:
-            continue
-        return encoding
-    head = data[:SNIFF_BYTES]
-    return ENCODINGS[-1] if head.isascii() else sniff(head)[0]
+        if _decoded(opened(), encoding):
+            return encoding, True
+    head = opened().read(SNIFF_BYTES)
+    encoding = ENCODINGS[-1] if head.isascii() else sniff(head)[0]
+    return encoding, encoding == ENCODINGS[-1]
 
 
-def _members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    if zipfile.is_zipfile(io.BytesIO(content)):
+def _members(path: str, content: bytes) -> Iterator[tuple[str, Callable[[], BinaryIO]]]:
+    """(name, opener) of each file in a delivery; errors in DAMAGE where it cannot be read."""
+    name = path.rsplit("/", 1)[-1]
+    if path.lower().endswith(".zip") or zipfile.is_zipfile(io.BytesIO(content)):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in sorted(z.namelist()):
-                if name.lower().endswith((".csv", ".txt")):
-                    yield name, z.read(name)
-    elif path.lower().endswith(".zip"):
-        return  # damaged: nothing can be read
+            for member in sorted(z.namelist()):
+                if member.lower().endswith((".csv", ".txt")):
+                    yield member, lambda member=member: z.open(member)
     elif path.lower().endswith(".gz"):
-        try:
-            yield path.rsplit("/", 1)[-1][:-3], gzip.decompress(content)
-        except OSError:
-            return
+        yield name[:-3], lambda: gzip.open(io.BytesIO(content))
     else:
-        yield path.rsplit("/", 1)[-1], content
+        yield name, lambda: io.BytesIO(content)
+
+
+@dataclass
+class Delivery:
+    """A file or archive member, how it is to be read, and why it is not."""
+
+    member: str | None
+    opened: Callable[[], BinaryIO] | None = None
+    encoding: str | None = None
+    whole: bool = True
+    delimiter: str | None = None
+    at: dict[str, int] | None = None
+    problem: str | None = None
+
+    def rows(self) -> Iterator[list[str]]:
+        reader = csv.reader(io.TextIOWrapper(self.opened(), self.encoding, errors="replace", newline=""), delimiter=self.delimiter)
+        next(reader, None)
+        yield from reader
+
+
+def _looked_at(member: str, opened: Callable[[], BinaryIO], aliases: dict[str, list[str]], required: list[str]) -> Delivery:
+    encoding, whole = encoding_of(opened)
+    _, delimiter, header = sniff(opened().read(SNIFF_BYTES), encoding)
+    found = resolve_headers(header, aliases)
+    missing = [r for r in required if r not in found]
+    at = {n: header.index(normal_header(h)) for n, h in found.items()}
+    return Delivery(member, opened, encoding, whole, delimiter, at, f"no header for {', '.join(missing)}" if missing else None)
+
+
+def _delivered(source: str, content: bytes, aliases: dict[str, list[str]], required: list[str]) -> Iterator[Delivery]:
+    csv.field_size_limit(sys.maxsize)
+    try:
+        for member, opened in _members(source, content):
+            try:
+                d = _looked_at(member, opened, aliases, required)
+            except (*DAMAGE, RuntimeError) as e:
+                d = Delivery(member, problem=f"damaged: {type(e).__name__}")
+            yield d
+    except DAMAGE as e:
+        yield Delivery(None, problem=f"damaged: {type(e).__name__}")
+
+
+def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
 def read_delimited(spark: SparkSession, path: str, aliases: dict[str, list[str]], required: list[str], glob: str = "*", rows: int = 50_000) -> DataFrame:
     """source_file, member and the canonical fields as text of every file (or zip member) below path whose header has the required fields.
 
-    Files are spread over tasks whole, as gzip and zip cannot be split; each is read in blocks of rows. Damaged archives and files without the header give no rows.
+    Files are spread over tasks whole, as gzip and zip cannot be split; each is read in blocks of rows. Damaged archives and files without the header give no rows here but a problem in deliveries().
     """
     names = list(aliases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for source, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for member, data in _members(source, content):
-                    encoding, delimiter, header = sniff(data[:SNIFF_BYTES], encoding_of(data))
-                    found = resolve_headers(header, aliases)
-                    if any(r not in found for r in required):
-                        continue
-                    at = {n: header.index(normal_header(h)) for n, h in found.items()}
-                    reader = csv.reader(io.TextIOWrapper(io.BytesIO(data), encoding, errors="replace", newline=""), delimiter=delimiter)
-                    next(reader, None)
+            for i in range(b.num_rows):
+                source = b.column(0)[i].as_py()
+                for d in _delivered(source, b.column(1)[i].as_py(), aliases, required):
                     block: list[list[str]] = []
-                    for row in reader:
+                    for row in () if d.problem else d.rows():
                         block.append(row)
                         if len(block) >= rows:
-                            yield _batch(source, member, block, names, at)
+                            yield _batch(source, d.member, block, names, d.at)
                             block = []
                     if block:
-                        yield _batch(source, member, block, names, at)
+                        yield _batch(source, d.member, block, names, d.at)
+
+    return _binary(spark, path, glob).mapInArrow(run, "source_file string, member string, " + ", ".join(f"`{n}` string" for n in names))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return files.mapInArrow(run, "source_file string, member string, " + ", ".join(f"`{n}` string" for n in names))
+
+def deliveries(spark: SparkSession, path: str, aliases: dict[str, list[str]], required: list[str], glob: str = "*") -> DataFrame:
+    """source_file, member, encoding, delimiter, n_rows, replaced, problem of every file (or zip member): replaced says that letters could not be read, problem why it gives no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                source = b.column(0)[i].as_py()
+                out += [(source, d.member, d.encoding, d.delimiter, None if d.problem else sum(1 for _ in d.rows()), not d.whole, d.problem) for d in _delivered(source, b.column(1)[i].as_py(), aliases, required)]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["source_file", "member", "encoding", "delimiter", "n_rows", "replaced", "problem"])
+
+    return _binary(spark, path, glob).mapInArrow(run, "source_file string, member string, encoding string, delimiter string, n_rows long, replaced boolean, problem string")
 
 
 def _batch(source: str, member: str, block: list[list[str]], names: list[str], at: dict[str, int]) -> pa.RecordBatch:
@@ -122,16 +190,24 @@ def _batch(source: str, member: str, block: list[list[str]], names: list[str], a
 
 
 def file_date(name: str = "member"):
-    """The first eight digits of a file's name as its date, six as a month; daily files beat monthly ones in prefer_daily."""
+    """The first eight digits of a file's name as its date, six as a month."""
     d = F.regexp_extract(name, r"(20[0-9]{6}|20[0-9]{4})", 1)
     return F.when(d != "", d)
 
 
-def prefer_daily(files: DataFrame, date: str = "file_date") -> DataFrame:
-    """Of the files of a month, the daily ones where there are any, else the monthly one."""
-    months = files.filter(F.length(date) == 8).select(F.left(date, F.lit(6)).alias("__m")).distinct()
-    monthly = files.filter(F.length(date) == 6).join(months, F.col(date) == F.col("__m"), "left_anti")
-    return files.filter(F.length(date) == 8).unionByName(monthly)
+def files_for_days(files: DataFrame, days: DataFrame, name: str = "member", date: str = "file_date", day: str = "date") -> DataFrame:
+    """day, name: for each day its daily file, else the file of its month, else null; of several the last by name."""
+    each = files.filter(F.length(date).isin(6, 8)).groupBy(F.col(date).alias("__d")).agg(F.max(name).alias("__n"))
+    of = lambda n, c: each.filter(F.length("__d") == n).select(F.col("__d").alias(f"__{c}d"), F.col("__n").alias(f"__{c}"))
+    met = days.select(day).distinct().join(of(8, "day"), F.col(day) == F.col("__dayd"), "left").join(of(6, "month"), F.left(day, F.lit(6)) == F.col("__monthd"), "left")
+    return met.select(day, F.coalesce("__day", "__month").alias(name))
+
+
+def prefer_daily(rows: DataFrame, date: str = "file_date", day: str = "date") -> DataFrame:
+    """Of a day's rows those of its daily file, where there is one; a monthly file gives the days that have none."""
+    daily = rows.filter(F.length(date) == 8).select(F.col(date).alias("__d")).distinct()
+    monthly = rows.filter(F.length(date) == 6).join(daily, F.col(day) == F.col("__d"), "left_anti")
+    return rows.filter(F.length(date) == 8).unionByName(monthly)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
