@@ -134,6 +134,8 @@ def test_intervals_against_brute_force(spark):
     g = {(k, d, a[1], b[0]) for (k, d), iv in want.items() for a, b in itertools.pairwise(_merge(iv))}
     assert {tuple(r) for r in intervals.periods(df, ["k", "d"], "s", "e").collect()} == p
     assert {tuple(r) for r in intervals.gaps(df, ["k", "d"], "s", "e").collect()} == g
+    for span in (1, 7, 1000):  # an entity's time cut into stretches
+        assert {tuple(r) for r in intervals.periods(df, ["k", "d"], "s", "e", span).collect()} == p and {tuple(r) for r in intervals.gaps(df, ["k", "d"], "s", "e", span).collect()} == g
     assert intervals.gaps(df.limit(0), ["k", "d"], "s", "e").count() == 0 == intervals.periods(df.limit(0), ["k", "d"], "s", "e").count()
 
 

@@ -51,32 +51,25 @@ def retain_observed_top(df: DataFrame, keys: list[str], observed: str, u: str, i
     return top(df, keys, order, k).drop("__size", "__seen")
 
 
-def _sets(df: DataFrame, keys: list[str], observed: str) -> DataFrame:
-    """Groups with at least two rows and some demand take part in the fit."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("__size", F.count(F.lit(1)).over(w)).withColumn("__whole", F.sum(observed).over(w)).filter("__size >= 2 and __whole > 0")
-
-
 def moments(selected: DataFrame, keys: list[str], beta: dict[str, float], observed: str = "observed") -> DataFrame:
     """One row: log likelihood, null log likelihood, gradient (g_*), information (i_*_*), groups and demand at beta.
 
-    selected: choice sets of few rows; the sums combine map-side.
+    Groups with at least two rows and some demand take part. All is sums per group and then over groups, so that groups of any size combine map-side.
     """
     names = list(beta)
-    rows = softmax_of_few(_sets(selected, keys, observed).withColumn("__u", utility(beta)), keys, "__u", "__p")
-    w = Window.partitionBy(*keys)
-    for c in names:
-        rows = rows.withColumn(f"__m_{c}", F.sum(F.col("__p") * F.col(c)).over(w))
-    aggs = [
-        F.sum(F.col(observed) * F.log(F.greatest("__p", F.lit(1e-300)))).alias("log_likelihood"),
-        (-F.sum(F.col("__whole") / F.col("__size") * F.log("__size"))).alias("null_log_likelihood"),
-        F.sum(1.0 / F.col("__size")).alias("groups"),
-        F.sum(observed).alias("demand"),
-    ]
-    aggs += [F.sum((F.col(observed) - F.col("__whole") * F.col("__p")) * F.col(c)).alias(f"g_{c}") for c in names]
-    dev = {c: F.col(c) - F.col(f"__m_{c}") for c in names}
-    aggs += [F.sum(F.col("__whole") * F.col("__p") * dev[a] * dev[b]).alias(f"i_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    return rows.agg(*aggs)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    rows = beside(selected.withColumn("__u", utility(beta)), keys, __max=F.max("__u"))
+    rows = rows.withColumn("__u", F.greatest(F.lit(LOW), F.col("__u") - F.col("__max"))).withColumn("__e", F.exp("__u"))
+    sums = {"__n": F.count(F.lit(1)), "__t": F.sum(observed), "__s": F.sum("__e"), "__ou": F.sum(F.col(observed) * F.col("__u"))}
+    sums |= {f"__e_{c}": F.sum(F.col("__e") * F.col(c)) for c in names} | {f"__o_{c}": F.sum(F.col(observed) * F.col(c)) for c in names}
+    sums |= {f"__e_{a}_{b}": F.sum(F.col("__e") * F.col(a) * F.col(b)) for a, b in pairs}
+    g = rows.groupBy(*keys).agg(*(v.alias(k) for k, v in sums.items())).filter("__n >= 2 and __t > 0")
+    mean = lambda *c: F.col("__e_" + "_".join(c)) / F.col("__s")
+    t = F.col("__t")
+    aggs = [F.sum(F.col("__ou") - t * F.log("__s")).alias("log_likelihood"), (-F.sum(t * F.log("__n"))).alias("null_log_likelihood"), F.count(F.lit(1)).cast("double").alias("groups"), F.sum(t).alias("demand")]
+    aggs += [F.sum(F.col(f"__o_{c}") - t * mean(c)).alias(f"g_{c}") for c in names]
+    aggs += [F.sum(t * (mean(a, b) - mean(a) * mean(b))).alias(f"i_{a}_{b}") for a, b in pairs]
+    return g.agg(*aggs)
 
 
 @dataclass

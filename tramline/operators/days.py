@@ -85,7 +85,7 @@ def relief_on_days(inc: DataFrame, filled_edges: DataFrame, state: DataFrame, pa
 def moments_over_days(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """key with sum, mean and population deviation of the value over its days, and on how many and what share of them it is above 0."""
     n = F.count(F.lit(1))
-    aggs = [F.sum(value).alias("total"), F.avg(value).alias("mean"), F.sqrt(F.greatest(F.avg(F.col(value) ** 2) - F.avg(value) ** 2, F.lit(0.0))).alias("std"), F.count_if(F.col(value) > 0).alias("positive"), (F.count_if(F.col(value) > 0) / n).alias("positive_share")]
+    aggs = [F.sum(value).alias("total"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count_if(F.col(value) > 0).alias("positive"), (F.count_if(F.col(value) > 0) / n).alias("positive_share")]
     return df.groupBy(*key).agg(*aggs)
 
 

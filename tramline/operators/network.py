@@ -10,12 +10,16 @@ from tramline.operators.groups import beside
 
 EDGE = ["hour", "route_id", "from_stop_id", "to_stop_id"]
 EPS = 1e-12
+#: Bins of a score in which ranks are counted.
+BINS = 1 << 14
 
 
-def edge_tokens(c: str, once: bool = True) -> Column:
-    """``route|from|to;...`` to an array of structs, in order, each edge once if once; malformed tokens give empty parts."""
+def edge_tokens(c: str, once: bool = True, strict: bool = False) -> Column:
+    """``route|from|to;...`` to an array of structs, in order, each edge once if once; malformed tokens fail if strict, else give empty parts."""
     parts = F.filter(F.split(F.col(c), ";"), lambda t: t != "")
     parts = F.array_distinct(parts) if once else parts
+    if strict:
+        parts = F.transform(parts, lambda t: F.when(F.size(F.split(t, "\\|")) == 3, t).otherwise(F.raise_error(F.concat(F.lit("malformed edge: "), t)).cast("string")))
     return F.transform(parts, lambda t: F.struct(F.split_part(t, F.lit("|"), F.lit(1)).alias("route_id"), F.split_part(t, F.lit("|"), F.lit(2)).alias("from_stop_id"), F.split_part(t, F.lit("|"), F.lit(3)).alias("to_stop_id")))
 
 
@@ -88,15 +92,19 @@ def respond(inc: DataFrame, paths: DataFrame, edges: DataFrame, group: list[str]
 def top_share(df: DataFrame, score: str, key: list[str], share: float, least: int, by: list[str] | None = None) -> DataFrame:
     """The best ceil(share * n) rows, at least least of them, overall or per scope, with their rank; ties by key.
 
-    Ranks come from the counts per distinct score; only rows of equal score are ordered by key.
+    Scores fall into BINS equal bins; counts per bin tell where the cut lies and how many rows are before each bin, so that
+    only rows of the bins before the cut are ordered, bin by bin.
     """
-    scope = by or ["__all"]
-    df = df if by else df.withColumn("__all", F.lit(1))
-    counts = df.groupBy(*scope, score).agg(F.count(F.lit(1)).alias("__c"))
-    best = Window.partitionBy(*scope).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    scope = by or []
+    ends = df.agg(F.min(score), F.max(score)).first()
+    width = (ends[1] - ends[0]) / BINS if ends[0] is not None and ends[1] > ends[0] else 1.0
+    df = df.withColumn("__bin", F.floor((F.lit(ends[1]) - F.col(score)) / width).cast("long"))
+    counts = df.filter(F.col(score).isNotNull()).groupBy(*scope, "__bin").agg(F.count(F.lit(1)).alias("__c"))
+    # At most BINS + 1 rows a scope.
+    upto = Window.partitionBy(*scope).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     n = F.sum("__c").over(Window.partitionBy(*scope))
     k = F.least(n, F.greatest(F.lit(least), F.ceil(F.lit(share) * n)))
-    cut = counts.withColumn("__before", F.sum("__c").over(best) - F.col("__c")).withColumn("__k", k).filter("__before < __k").drop("__c")
-    place = F.row_number().over(Window.partitionBy(*scope, score).orderBy(*key))
-    out = df.join(cut, [*scope, score]).withColumn("__place", place).filter("__place + __before <= __k")
-    return out.withColumn("rank", (F.col("__before") + F.col("__place")).cast("int")).drop("__before", "__k", "__place", "__all")
+    cut = counts.withColumn("__before", F.sum("__c").over(upto) - F.col("__c")).withColumn("__k", k).filter("__before < __k").drop("__c")
+    place = F.row_number().over(Window.partitionBy(*scope, "__bin").orderBy(F.col(score).desc(), *key))
+    out = df.join(cut, [*scope, "__bin"]).withColumn("rank", (F.col("__before") + place).cast("int"))
+    return out.filter(F.col("rank") <= F.col("__k")).drop("__before", "__k", "__bin")

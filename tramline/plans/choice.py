@@ -13,6 +13,8 @@ GROUP = ["od_index", "hour"]
 PATH = ["od_index", "hour", "signature"]
 BETA = {"total_time": -0.05, "walk_time": -0.02, "transfers": -0.3}
 WEIGHT, REF, K = 0.009, 6.0, 5
+#: Money for an hour of travel.
+VALUE_OF_TIME = 1101.0
 HIGH_GRID = (0.0, 20.0, 50.0, 100.0)
 
 
@@ -55,32 +57,32 @@ def mnl_moments(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(*(F.round(c, 4).alias(c) for c in m.columns))
 
 
-def _fit_rows(spark: SparkSession, f: choice.Fit, rule: str) -> DataFrame:
-    per_minute = -f.beta["total_time"] / (1101.0 / 60)
-    rows = [(rule, n, b, f.std_err[n], b / f.std_err[n] if f.std_err[n] else 0.0, f.log_likelihood, f.rho2, f.iterations, per_minute) for n, b in f.beta.items()]
-    return spark.createDataFrame(rows, "rule string, feature string, beta double, std_err double, z double, log_likelihood double, rho2 double, iterations int, beta_per_won double")
+def _fit_rows(spark: SparkSession, f: choice.Fit, rule: str, settled: bool, per_hour: float = VALUE_OF_TIME, bounds: tuple[float, float] = (-10.0, 0.0)) -> DataFrame:
+    """One row per feature; at_bound warns of a coefficient that its bounds hold, settled says whether the choice sets came to rest; per_hour: money that an hour is worth."""
+    per_minute = -f.beta["total_time"] / (per_hour / 60)
+    rows = [(rule, n, b, f.std_err[n], b / f.std_err[n] if f.std_err[n] else 0.0, f.log_likelihood, f.rho2, f.iterations, per_minute, b in bounds, settled) for n, b in f.beta.items()]
+    return spark.createDataFrame(rows, "rule string, feature string, beta double, std_err double, z double, log_likelihood double, rho2 double, iterations int, beta_per_won double, at_bound boolean, settled boolean")
 
 
 def mnl_fit_demand_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients fitted once on the demand-ranked choice sets."""
     sets = checkpointed(choice.demand_top(pool(spark, sf), GROUP, "observed", "signature", K).drop("rank"))
-    return _fit_rows(spark, choice.fit(sets, GROUP), "demand_ranked")
+    return _fit_rows(spark, choice.fit(sets, GROUP), "demand_ranked", True)
 
 
-def mnl_fit_self_consistent(spark: SparkSession, sf: str, rounds: int = 4) -> DataFrame:
-    """Fit, choose sets by utility with the observed retained, refit, until the sets stay or come back."""
+def mnl_fit_self_consistent(spark: SparkSession, sf: str, rounds: int = 8) -> DataFrame:
+    """A first fit on all candidates; then choose sets by utility with the observed retained and refit, until the sets stay or come back."""
     rows = checkpointed(pool(spark, sf))
-    beta, seen, f = BETA, set(), None
+    f, seen, settled = choice.fit(rows, GROUP), set(), False
     for _ in range(rounds):
-        sets = choice.retain_observed_top(rows.withColumn("u", choice.utility(beta)), GROUP, "observed", "u", "signature", K).drop("rank", "u")
+        sets = choice.retain_observed_top(rows.withColumn("u", choice.utility(f.beta)), GROUP, "observed", "u", "signature", K).drop("rank", "u")
         sets = checkpointed(sets)
         mask = sets.agg(F.bit_xor(F.xxhash64(*PATH))).first()[0]
-        if mask in seen:
+        if settled := mask in seen:
             break
         seen.add(mask)
         f = choice.fit(sets, GROUP)
-        beta = f.beta
-    return _fit_rows(spark, f, "self_consistent")
+    return _fit_rows(spark, f, "self_consistent", settled)
 
 
 def choice_set_sizes(spark: SparkSession, sf: str) -> DataFrame:

@@ -108,6 +108,6 @@ SQL = {
         WHERE NOT train AND g.hour IS NOT NULL AND g.origin_stop_id IS NOT NULL AND g.destination_stop_id IS NOT NULL GROUP BY ALL""",
     "day_states": f"{_NET}, {_SEG}, {_FILL}, {_ST}, h AS (SELECT date, round(sum(tt*trips*load0*load0),3) AS h0 FROM te GROUP BY date) SELECT date, count(*) AS paths, {_R('avg(total)')} AS mean_minutes, round(sum(p0*total),3) AS expected_minutes, h0 FROM sz JOIN h USING (date) GROUP BY date, h0",
     "relief_moments": f"""{_NET}, {_SEG}, {_FILL}, {_ST}, w AS (SELECT date, {_P}, {WEIGHT}*demand*p0*(c-sum(p0*c) OVER (PARTITION BY date,od_index,hour)) AS w FROM sz), r AS (SELECT date, {_E}, round(-sum(w),6) AS relief FROM inc JOIN w USING ({_P}) GROUP BY ALL)
-        SELECT {_E}, {_R('sum(relief)')} AS total, {_R('avg(relief)')} AS mean, round(sqrt(greatest(avg(relief*relief)-avg(relief)*avg(relief),0)),3) AS std, count(*) FILTER (relief>0) AS positive, {_R('count(*) FILTER (relief>0)/count(*)')} AS positive_share FROM r GROUP BY {_E}""",
+        SELECT {_E}, {_R('sum(relief)')} AS total, {_R('avg(relief)')} AS mean, round(stddev_pop(relief),3) AS std, count(*) FILTER (relief>0) AS positive, {_R('count(*) FILTER (relief>0)/count(*)')} AS positive_share FROM r GROUP BY {_E}""",
     "od_ids": f"SELECT hour, origin, destination, row_number() OVER (ORDER BY hour, origin, destination)-1 AS od_id FROM (SELECT DISTINCT hour, {_ID('origin_stop_id')} AS origin, {_ID('destination_stop_id')} AS destination FROM candidate_pool) WHERE hour IS NOT NULL AND origin IS NOT NULL AND destination IS NOT NULL",
 }
