@@ -37,7 +37,7 @@ def test_hot_keys(spark):
 def _drift(spark, files, aliases=(("card_id", "카드ID"), ("card_id", "CARD"))):
     rows = [(f"f{d}", d, j) for d, js in files for j in js]
     rec = spark.createDataFrame([(i, "feed", f, d, j, "x") for i, (f, d, j) in enumerate(rows)], "record_id long, feed string, file_name string, file_date string, record_json string, header string")
-    names = drift.alias_map(spark.createDataFrame(list(aliases), "canonical_name string, alias string"))
+    names = drift.alias_table(spark.createDataFrame(list(aliases), "canonical_name string, alias string"))
     return rec, names, drift.file_schemas(rec, names)
 
 
@@ -55,11 +55,18 @@ def test_schema_drift(spark):
         ("f20260303", "b", "retyped", "integer", "decimal"), ("f20260303", "d", "added", None, "d"), ("f20260303", "e", "removed", "e", None),
     }
     types = drift.union_schema(schemas, ["card_id", "a", "b", "c", "e", "gone"])
-    assert types == {"card_id": "string", "a": "decimal(38,0)", "b": "double", "c": "string", "e": "string", "gone": "string"}
-    rows = [(r.card_id, r.a and int(r.a), r.b, r.c, r.e) for r in drift.unified(rec, names, types).orderBy("record_id").collect()]
+    assert types == {"card_id": "string", "a": "decimal(38,0)", "b": "decimal(38,12)", "c": "string", "e": "string", "gone": "string"}
+    rows = [(r.card_id, r.a and int(r.a), r.b, r.c, r.e) for r in drift.unified(rec, schemas, types).orderBy("record_id").collect()]
     assert rows == [("1", None, 1.0, "x", "true"), ("7", 1, 2.5, None, None), (None, None, 3.0, None, None), (None,) * 5, (None,) * 5, ("2", 1, 1.0, "x", "3")]
 
 
+def test_digits_are_kept_and_misfits_told(spark):
+    files = [("20260301", ['{"a": 12345678901234567890123}', '{"a": 1.5}', '{"a": 1e30}', '{"a": null}'])]
+    rec, _, schemas = _drift(spark, files)
+    rows = drift.unified(rec, schemas, drift.union_schema(schemas, ["a"])).orderBy("record_id").collect()
+    assert [(r.a and str(r.a), r.unfit) for r in rows] == [("12345678901234567890123.000000000000", []), ("1.500000000000", []), (None, ["a"]), (None, [])]
+
+
 def test_drift_of_nothing(spark):
     _, _, schemas = _drift(spark, [])
     assert drift.changes(schemas).count() == 0

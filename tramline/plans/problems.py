@@ -48,22 +48,23 @@ def p3_totals(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def _schemas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    records, aliases = table(spark, sf, "leg_files"), drift.alias_map(table(spark, sf, "field_aliases"))
-    return records, drift.file_schemas(records, aliases), aliases
+def _schemas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, sf, "leg_files")
+    return records, drift.file_schemas(records, drift.alias_table(table(spark, sf, "field_aliases")))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.changes(_schemas(spark, sf)[1]).select("file_name", "field_name", "change_kind")
+    return p4_changes(spark, sf).select("file_name", "field_name", "change_kind")
 
 
 def p4_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.changes(_schemas(spark, sf)[1])
+    return drift.changes(checkpointed(_schemas(spark, sf)[1]))
 
 
 def p4_legs(spark: SparkSession, sf: str) -> DataFrame:
-    records, schemas, aliases = _schemas(spark, sf)
-    return drift.unified(records, aliases, drift.union_schema(schemas, list(rejects.LEGS.fields[:-1])))
+    records, schemas = _schemas(spark, sf)
+    schemas = checkpointed(schemas)
+    return drift.unified(records, schemas, drift.union_schema(schemas, list(rejects.LEGS.fields[:-1])))
 
 
 def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
