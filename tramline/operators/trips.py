@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.clean import clean_id, clean_route, readable_time, service_day, trimmed
-from tramline.operators.groups import first_per
 
 CHAIN = ["service_date", "card_id", "transfer_id"]
 
 
-def clean_legs(legs: DataFrame) -> DataFrame:
-    """Typed legs, each once: of rows delivered again the latest holds."""
+def clean_legs(legs: DataFrame, together: bool = False) -> DataFrame:
+    """Typed legs, each once: of rows delivered again the latest holds; together brings a chain's legs to one task at once, for what follows."""
     rows = legs.select(
         service_day("service_date", "ride_dtm").alias("service_date"), clean_id("card_id").alias("card_id"), clean_id("transfer_id").alias("transfer_id"), trimmed("serial_num").alias("serial_num"),
         clean_id("mode_code").alias("mode_code"), clean_route("route_id").alias("route_id"), clean_id("origin_stop_id").alias("origin"), clean_id("destination_stop_id").alias("destination"),
         readable_time("ride_dtm").alias("ride"), readable_time("alight_dtm").alias("alight"), F.coalesce(F.nanvl("passengers", F.lit(0.0)), F.lit(0.0)).alias("passengers"), "loaded_at",
     )
-    rows = rows.filter("service_date is not null and card_id is not null and transfer_id is not null")
+    rows = rows.repartition(*CHAIN) if together else rows
     latest = [F.col("loaded_at").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ("alight", "route_id", "origin", "destination", "mode_code", "passengers"))]
-    return first_per(rows, [*CHAIN, "ride", "serial_num"], latest)
+    rank = F.row_number().over(Window.partitionBy(*CHAIN, "ride", "serial_num").orderBy(*latest))
+    # One condition over the rank: apart from it, those on the keys would be computed again below the shuffle.
+    whole = F.col("service_date").isNotNull() & F.col("card_id").isNotNull() & F.col("transfer_id").isNotNull()
+    return rows.withColumn("__rank", rank).filter(F.when(whole, F.col("__rank")) == 1).drop("__rank")
 
 
 def minutes(start: Column, end: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import choice, network, scoring
 from tramline.operators.groups import beside, top
-from tramline.session import checkpointed, once, table
+from tramline.session import checkpointed, dealt, once, table
 
 GROUP = ["od_index", "hour"]
 PATH = ["od_index", "hour", "signature"]
@@ -26,7 +26,7 @@ def r6(c: Column | str, name: str | None = None) -> Column:
 def pool(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """Candidates once each, with observed counts where null and NaN are 0."""
     seen = F.col("observed_passengers_train")
-    rows = table(spark, sf, "candidate_pool").withColumn("observed", F.when(seen.isNull() | F.isnan(seen), 0.0).otherwise(seen))
+    rows = dealt(table(spark, sf, "candidate_pool"), "od_index", "signature").withColumn("observed", F.when(seen.isNull() | F.isnan(seen), 0.0).otherwise(seen))
     rows = rows.select(*PATH, "total_time", "walk_time", F.col("transfers").cast("double").alias("transfers"), "observed", *more)
     # The signature is unique in a group and copies agree in all columns, so a hash aggregate over all of them does.
     return rows.distinct()

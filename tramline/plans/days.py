@@ -15,7 +15,7 @@ E = network.EDGE
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, "segments", [f"{sf}/legs.parquet"], lambda: checkpointed(days.segments(trips.clean_legs(table(spark, sf, "legs")))))
+    return once(spark, "segments", [f"{sf}/legs.parquet"], lambda: checkpointed(days.segments(trips.clean_legs(transit._legs(spark, sf)))))
 
 
 def _split(spark: SparkSession, sf: str) -> tuple[list[str], list[str]]:

@@ -10,26 +10,26 @@ from pyspark.sql import functions as F
 from tramline.functions.clean import clean_id, clean_route, readable_time, service_day
 from tramline.operators import drift, hotkeys, intervals, rejects
 from tramline.operators.orphans import OrphanState, parent_events
-from tramline.session import checkpointed, sent, small, table
+from tramline.session import checkpointed, dealt, sent, small, table
 
 HEAVY_SHARE = 0.02
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return rejects.rejected(rejects.parse_lines(table(spark, sf, "raw_lines"))).select("line_id")
+    return rejects.rejected(rejects.parse_lines(dealt(table(spark, sf, "raw_lines"), "line_id"))).select("line_id")
 
 
 def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    bad = rejects.rejected(rejects.parse_lines(table(spark, sf, "raw_lines")))
+    bad = rejects.rejected(rejects.parse_lines(dealt(table(spark, sf, "raw_lines"), "line_id")))
     return bad.groupBy("feed", "reason", "field").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def p1_legs(spark: SparkSession, sf: str) -> DataFrame:
-    return rejects.loaded(rejects.parse_lines(table(spark, sf, "raw_lines")), rejects.LEGS)
+    return rejects.loaded(rejects.parse_lines(dealt(table(spark, sf, "raw_lines"), "line_id")), rejects.LEGS)
 
 
 def p1_daily_od(spark: SparkSession, sf: str) -> DataFrame:
-    return rejects.loaded(rejects.parse_lines(table(spark, sf, "raw_lines")), rejects.DAILY_OD)
+    return rejects.loaded(rejects.parse_lines(dealt(table(spark, sf, "raw_lines"), "line_id")), rejects.DAILY_OD)
 
 
 def _totals(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -49,7 +49,7 @@ def p3_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _schemas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    records = table(spark, sf, "leg_files")
+    records = dealt(table(spark, sf, "leg_files"), "record_id")
     return records, drift.file_schemas(records, drift.alias_table(table(spark, sf, "field_aliases")))
 
 
@@ -73,7 +73,7 @@ def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ids = table(spark, sf, "stop_id_map").select(clean_id("card_stop_id").alias("card"), clean_id("model_stop_id").alias("model"))
     ids = ids.filter("card is not null and model is not null").groupBy("card").agg(F.min("model").alias("model"))
     ids = ids.join(stops.select(F.col("stop").alias("card")).distinct(), "card", "left_anti")
-    trips = table(spark, sf, "purpose_trips").select(F.col("trip_hash"), F.col("service_date").alias("day"), F.to_date("loaded_at").alias("loaded_on"), clean_id("origin_stop_id").alias("o"), clean_id("destination_stop_id").alias("d"))
+    trips = dealt(table(spark, sf, "purpose_trips"), "trip_hash").select(F.col("trip_hash"), F.col("service_date").alias("day"), F.to_date("loaded_at").alias("loaded_on"), clean_id("origin_stop_id").alias("o"), clean_id("destination_stop_id").alias("d"))
     refs = trips.select("trip_hash", "day", "loaded_on", F.explode(F.array(F.struct(F.lit("origin_stop_id").alias("field_name"), F.col("o").alias("ref")), F.struct(F.lit("destination_stop_id").alias("field_name"), F.col("d").alias("ref")))).alias("r"))
     refs = refs.select("trip_hash", "day", "loaded_on", "r.*").filter("ref is not null")
     refs = refs.join(F.broadcast(ids) if small(ids) else ids, F.col("ref") == F.col("card"), "left").withColumn("key", F.coalesce("model", "ref"))
@@ -123,7 +123,7 @@ def p5_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rides(spark: SparkSession, sf: str) -> DataFrame:
     """Times as the numbers that their 14 digits are: these order alike and fold in hash tables, as text does not."""
-    legs = table(spark, sf, "legs")
+    legs = dealt(table(spark, sf, "legs"), "card_id", "ride_dtm")
     return legs.select(clean_id("card_id").alias("card_id"), service_day("service_date", "ride_dtm").alias("service_date"), readable_time("ride_dtm").cast("long").alias("ride"), readable_time("alight_dtm").cast("long").alias("alight"))
 
 

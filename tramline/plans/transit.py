@@ -10,7 +10,11 @@ from tramline.functions.clean import clean_id, clean_route, readable_time, servi
 from tramline.operators import matrix, trips
 from tramline.operators.groups import first_per
 from tramline.plans import oracle
-from tramline.session import checkpointed, table
+from tramline.session import checkpointed, dealt, once, table, written
+
+
+def _legs(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(table(spark, sf, "legs"), "card_id", "ride_dtm")
 
 
 def clean_stops(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,7 +38,7 @@ def time_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mapped_legs(spark: SparkSession, sf: str) -> DataFrame:
     """Clean legs, card readers' stop numbers replaced where the map has them (identity otherwise)."""
-    legs = trips.clean_legs(table(spark, sf, "legs"))
+    legs = trips.clean_legs(_legs(spark, sf), together=True)
     ids = table(spark, sf, "stop_id_map").select(clean_id("card_stop_id").alias("card"), clean_id("model_stop_id").alias("model")).filter("card is not null and model is not null").groupBy("card").agg(F.min("model").alias("model"))
     for end in ("origin", "destination"):
         m = ids.select(F.col("card").alias("__c"), F.col("model").alias("__m"))
@@ -43,7 +47,8 @@ def _mapped_legs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trips(spark: SparkSession, sf: str) -> DataFrame:
-    return trips.chains(_mapped_legs(spark, sf), clean_stops(spark, sf))
+    """Derived once a session: seven queries begin with it."""
+    return once(spark, "trips", [f"{sf}/{t}.parquet" for t in ("legs", "stops", "stop_id_map")], lambda: written(trips.chains(_mapped_legs(spark, sf), clean_stops(spark, sf))))
 
 
 def trip_chains(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +131,7 @@ def stops_used(spark: SparkSession, sf: str) -> DataFrame:
 def date_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Dates that matrix and trips share, and those of only one of them."""
     a = table(spark, sf, "daily_od").select(clean_id("date").alias("date")).filter("date is not null").distinct()
-    b = trips.clean_legs(table(spark, sf, "legs")).select(F.col("service_date").alias("date")).distinct()
+    b = trips.clean_legs(_legs(spark, sf)).select(F.col("service_date").alias("date")).distinct()
     both, only_a, only_b = a.intersect(b), a.subtract(b), b.subtract(a)
     return both.withColumn("side", F.lit("both")).unionByName(only_a.withColumn("side", F.lit("matrix_only"))).unionByName(only_b.withColumn("side", F.lit("legs_only")))
 
@@ -142,7 +147,7 @@ def od_long(spark: SparkSession, sf: str) -> DataFrame:
 
 def route_loads(spark: SparkSession, sf: str) -> DataFrame:
     """Legs and passengers per route and hour beside the route's master row; unknown routes stay with null master fields."""
-    legs = trips.clean_legs(table(spark, sf, "legs")).filter("ride is not null and route_id is not null")
+    legs = trips.clean_legs(_legs(spark, sf)).filter("ride is not null and route_id is not null")
     n = legs.groupBy("route_id", F.substring("ride", 9, 2).cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("legs"), F.sum("passengers").alias("passengers"))
     per_leg = F.round(F.try_divide("passengers", F.nullif(F.col("legs"), F.lit(0))), 6)
     return n.join(clean_routes(spark, sf).select("route_id", "route_name", "route_type"), "route_id", "left").withColumn("passengers_per_leg", per_leg)

@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """A scan dealt out over all cores by the columns given, where its files have fewer splits than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; only a local session may do without and gets a folder of its own, removed when it ends."""
     sc = spark.sparkContext
