@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.llm import bpe, mixing, spam, topn
-from tramline.session import checkpointed, sent, table
+from tramline.session import checkpointed, dealt, sent, table
 
 TOP = 5
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(table(spark, sf, "documents"), "doc_id")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("observed_passengers_train")
-    pool = table(spark, sf, "candidate_pool").withColumn("observed", F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c))
+    pool = dealt(table(spark, sf, "candidate_pool"), "od_index", "signature").withColumn("observed", F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c))
     order = [("observed", True), ("total_time", False), ("transfers", False)]
     return topn.top_n(pool, ["od_index", "hour"], order, "signature", TOP).select("od_index", "hour", "signature")
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.encode(table(spark, sf, "documents"), "doc_id", "text")
+    return bpe.encode(_documents(spark, sf), "doc_id", "text")
 
 
 def p7_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +34,7 @@ def p7_text(spark: SparkSession, sf: str) -> DataFrame:
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The mix and its plan; longer documents are expected more often, in proportion to their tokens. Only target sources are tokenized."""
     given = table(spark, sf, "mix_targets")
-    docs = table(spark, sf, "documents").withColumn("source", mixing.source_key("source"))
+    docs = _documents(spark, sf).withColumn("source", mixing.source_key("source"))
     docs = docs.join(sent(mixing.targets_of(given).select("source"), 64), "source", "left_semi")
     sizes = checkpointed(bpe.count_tokens(docs, ["doc_id", "source"], "text"))
     planned = checkpointed(mixing.plan(sizes, given))
@@ -56,12 +60,12 @@ def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return spam.found(table(spark, sf, "documents")).select("doc_id")
+    return spam.found(_documents(spark, sf)).select("doc_id")
 
 
 def p9_curves(spark: SparkSession, sf: str) -> DataFrame:
     """The flagged pages with their deviations."""
-    return spam.flagged(table(spark, sf, "documents"))
+    return spam.flagged(_documents(spark, sf))
 
 
 def queries() -> dict:
