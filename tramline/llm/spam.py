@@ -32,7 +32,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +66,7 @@ UNIT = 1_000_000
 _SITE = re.compile(r"\w[.,\])]{1,3}\w{1,63}/|//|www|\[url|href|\]\(", re.I)
 _EDGE = " \t.,;:!?|•·*♪\"'()[]<>«»-–—…/¿¡"
 ID = ["_a", "_b"]
+_SHAPED = ("<link>", "<tag>", "<number>")
 
 
 class _Shapes(dict):
@@ -107,34 +110,40 @@ def distinct_pages(df: DataFrame, text: str, lang: str) -> DataFrame:
     return written(pages.select(*_id(F.col("text")), "lang", "text"))
 
 
-@dataclass
 class Prose:
-    """Curves of the languages for the tasks: of each word the languages with its log frequency, and that of a word outside."""
-
-    langs: list[str]
-    outside: list[float]
-    words: dict[str, list[tuple[int, float]]]
+    """Curves of the languages for the tasks: words with the languages that rank them and by how much their log frequency there is above that of a word outside."""
+
+    def __init__(self, langs: list[str], outside: list[float], curves: list[dict[str, float]]):
+        self.langs, self.outside = langs, np.array(outside)
+        self.shapes = [[s for s in _SHAPED if s in c] for c in curves]
+        ranked: dict[str, list[tuple[int, float]]] = {}
+        for i, c in enumerate(curves):
+            for w, q in c.items():
+                ranked.setdefault(w, []).append((i, q - outside[i]))
+        self.row = {w: k for k, w in enumerate(ranked)}
+        self.start = np.cumsum([0, *map(len, ranked.values())])
+        self.lang = np.array([i for v in ranked.values() for i, _ in v], np.int64)
+        self.above = np.array([q for v in ranked.values() for _, q in v])
 
     def nearest(self, counts: Counter) -> tuple[int, float, float]:
-        """(language or -1, divergence from its prose, share of the plain words that it ranks, 0 on a page of links)."""
-        n = sum(counts.values())
-        if not self.langs or not n:
+        """(language whose prose the page is likeliest to be or -1, divergence from its prose, share of the plain words that it ranks, 0 on a page of links)."""
+        if not self.langs or not counts:
             return -1, 0.0, 0.0
-        hit, log_q, known = [0] * len(self.langs), [0.0] * len(self.langs), self.words
-        own = sum(c * math.log(c) for c in counts.values() if c > 1) - n * math.log(n)
-        for w in known.keys() & counts.keys():
-            c = counts[w]
-            for i, q in known[w]:
-                hit[i] += c
-                log_q[i] += c * q
-        best = max(range(len(self.langs)), key=lambda i: log_q[i] + (n - hit[i]) * self.outside[i])
-        off = (own - log_q[best] - (n - hit[best]) * self.outside[best]) / n
+        c = np.fromiter(counts.values(), np.float64, len(counts))
+        rows = np.fromiter(map(self.row.get, counts, repeat(-1)), np.int64, len(counts))
+        n, known = c.sum(), rows >= 0
+        rows, times = rows[known], c[known]
+        size = self.start[rows + 1] - self.start[rows]
+        at = np.repeat(self.start[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        lang, times = self.lang[at], np.repeat(times, size)
+        log_q = n * self.outside + np.bincount(lang, times * self.above[at], len(self.langs))
+        best = int(log_q.argmax())
+        off = float(((c * np.log(c)).sum() - log_q[best]) / n - math.log(n))
         if counts["<link>"] + counts["<tag>"] > MOST_LINKS * n:
             return best, off, 0.0
-        shapes = [s for s in ("<link>", "<tag>", "<number>") if s in counts]
-        plain = n - sum(counts[s] for s in shapes)
-        ranked = hit[best] - sum(counts[s] for s in shapes if any(i == best for i, _ in known.get(s, ())))
-        return best, off, ranked / plain if plain else 1.0
+        plain = n - sum(counts[s] for s in _SHAPED)
+        ranked = times[lang == best].sum() - sum(counts[s] for s in self.shapes[best])
+        return best, off, float(ranked / plain) if plain else 1.0
 
 
 def _by_word(pages: DataFrame, given: list[str], label) -> DataFrame:
@@ -178,11 +187,11 @@ def prose_of(pages: DataFrame) -> Prose:
     top = by.filter("word is not null").withColumn("rank", rank).filter(F.col("rank") <= RANKS)
     rows = top.join(sized, "lang").select("lang", "word", "mass", "n_words", "total").collect()
     langs = sorted({r.lang for r in rows})
-    at, outside, words = {x: i for i, x in enumerate(langs)}, [0.0] * len(langs), {}
+    at, outside, words = {x: i for i, x in enumerate(langs)}, [0.0] * len(langs), [{} for _ in langs]
     kept: Counter = Counter()
     for r in rows:
         kept[r.lang] += r.mass
-        words.setdefault(r.word, []).append((at[r.lang], math.log(max(r.mass, 1) / r.total)))
+        words[at[r.lang]][r.word] = math.log(max(r.mass, 1) / r.total)
     for r in rows:  # what the ranked words leave, evenly over the others, and no less than a millionth
         outside[at[r.lang]] = math.log(max((r.total - kept[r.lang]) / r.total / max(1, r.n_words - RANKS), 1 / UNIT))
     return Prose(langs, outside, words)
@@ -297,11 +306,13 @@ def speech_of(pages: DataFrame, prose: Prose, d: DataFrame) -> dict[str, dict[st
     return out
 
 
-def speech_on(text: str, speech: dict[str, float]) -> frozenset:
-    """Words that show speech on this page: not those that it repeats OFTEN times as much as prose does."""
+def speech_on(text: str, speech: dict[str, float], words: frozenset | None = None) -> frozenset:
+    """Words that show speech on this page: not those that it repeats OFTEN times as much as prose does; words are all of speech."""
     counts = words_of(text)
     n = sum(counts.values())
-    return frozenset(w for w, q in speech.items() if counts[w] <= max(FEW, OFTEN * q * n))
+    stuffed = {w for w, c in counts.items() if c > FEW and w in speech and c > OFTEN * speech[w] * n}
+    words = frozenset(speech) if words is None else words
+    return words - stuffed if stuffed else words
 
 
 @dataclass
@@ -338,8 +349,9 @@ def found(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     suspects = F.broadcast(suspects) if suspects.count() * 40 < 32 << 20 else suspects
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = {x: (s, frozenset(s)) for x, s in sent.value.items()}
         for b in batches:
-            share = [spam_share(t, speech_on(t, sent.value.get(x, {})), x is not None) for x, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            share = [spam_share(t, speech_on(t, *words.get(x, ({}, frozenset()))), x is not None) for x, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share, pa.float64())], [*ID, "share"])
 
     checked = j.pages.select(*ID, "text").join(suspects, ID).select(*ID, "_lang", "text").mapInArrow(run, "_a long, _b long, share double").filter("share > 0.5").dropDuplicates(ID)

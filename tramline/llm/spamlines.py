@@ -55,8 +55,23 @@ def text_lines(text: str) -> list[tuple[str, int]]:
     return out
 
 
+class _Bare(dict):
+    """A word as written -> in lower case, without signs around it."""
+
+    def __missing__(self, x: str) -> str:
+        out = x.strip(_STRIP).lower()
+        if len(self) > 200_000:  # starts anew, with the same results
+            self.clear()
+        if len(x) < 64:
+            self[x] = out
+        return out
+
+
+_bare = _Bare()
+
+
 def _words(s: str) -> list[str]:
-    return [w for x in s.split(" ") if (w := x.strip(_STRIP).lower())]
+    return [w for w in map(_bare.__getitem__, s.split(" ")) if w]
 
 
 def _speech(words: list[str], speech: frozenset) -> float:
@@ -69,6 +84,14 @@ def _site(m: re.Match, speech: frozenset) -> bool:
     return any(map(str.isalpha, before)) and not (last in speech and (len(last) > 2 or before in speech))
 
 
+def _may_link(line: str) -> bool:
+    """Most spoken lines have none of the signs of an address, or a dot at their end only."""
+    low = line.lower()
+    if not ("." in low[:-2] or "//" in low or "[" in low or "(" in low or "{" in low or "<a" in low or "www" in low or " dot " in low):
+        return False
+    return _MAYBE.search(line) is not None
+
+
 def _link(line: str, speech: frozenset) -> bool:
     """A list entry with a link, not speech or a credit that names a site."""
     if _ANCHOR.search(line):
@@ -113,7 +136,7 @@ def classify(line: str, speech: frozenset = frozenset(), unreadable: bool = Fals
 
     unreadable: a list then needs twice the words, as the words of speech don't tell.
     """
-    if _MAYBE.search(line) and _link(line, speech):
+    if _may_link(line) and _link(line, speech):
         return "link"
     tags = _HASHTAG.findall(line) if "#" in line else ()
     if len(tags) >= 2 and sum(map(len, tags)) > 0.6 * len(line.replace(" ", "")):
