@@ -217,3 +217,18 @@ def test_values(spark):
     d = spark.createDataFrame([("20260302",), ("20260310",)], "d string")
     assert sorted(r.date for r in values.calendar(d, "d", (1, 2)).collect()) == ["20260303", "20260304", "20260310"]
     assert values.calendar(d.limit(0), "d", (1,)).count() == 0
+
+
+def test_once_a_session(spark, tmp_path):
+    """Derived again if a file changes or the shared folder loses its marker, else kept."""
+    from tramline.session import _kept, once
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    made = []
+    get = lambda: once(spark, "n", [str(tmp_path / "t")], lambda: made.append(1) or len(made))
+    assert (get(), get()) == (1, 1)
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "t"))
+    assert (get(), get()) == (2, 2)
+    marker = next(m for k, (v, m) in _kept.items() if k[1] == "n" and v == 2)
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, False)
+    assert get() == 3

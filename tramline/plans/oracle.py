@@ -115,6 +115,20 @@ o AS (SELECT r.*, EXISTS (SELECT 1 FROM st WHERE st.stop=r.key AND st.a<=r.servi
 SQL["p5_found"] = _REFS + "SELECT DISTINCT trip_hash, field_name FROM o WHERE NOT ok"
 SQL["p5_by_day"] = _REFS + "SELECT field_name, service_date, count(*) AS n_refs, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_orphans FROM o GROUP BY 1,2"
 
+_MONTHLY = _REFS.replace("service_date, {0}".format(clean_id("origin_stop_id")), "service_date, date_trunc('month', CAST(loaded_at AS DATE)) AS month, CAST(loaded_at AS DATE) AS loaded, {0}".format(clean_id("origin_stop_id"))).replace(
+    "service_date, {0}".format(clean_id("destination_stop_id")), "service_date, date_trunc('month', CAST(loaded_at AS DATE)), CAST(loaded_at AS DATE), {0}".format(clean_id("destination_stop_id"))
+)
+SQL["p5_snapshots"] = (
+    _MONTHLY.rstrip()
+    + f""",
+mm AS (SELECT month, max(loaded) AS loaded_until, row_number() OVER (ORDER BY month NULLS FIRST) AS k, strftime(lead(month) OVER (ORDER BY month NULLS FIRST),'%Y%m%d') AS until FROM r GROUP BY month),
+g AS (SELECT field_name, key, service_date, k, count(*) AS n FROM r JOIN mm ON r.month IS NOT DISTINCT FROM mm.month GROUP BY ALL),
+c AS (SELECT mm.k, mm.loaded_until, mm.until, field_name, key, service_date, sum(n) AS n FROM g JOIN mm ON g.k<=mm.k GROUP BY ALL),
+p AS (SELECT * FROM st WHERE stop IS NOT NULL AND (z IS NULL OR z>a)),
+l AS (SELECT c.k, c.loaded_until, field_name, key, service_date, n, coalesce(sum(CASE WHEN a<=service_date AND (until IS NULL OR a<until) THEN 1 ELSE 0 END),0)-coalesce(sum(CASE WHEN z<=service_date AND (until IS NULL OR z<until) THEN 1 ELSE 0 END),0) AS live FROM c LEFT JOIN p ON p.stop=c.key GROUP BY ALL)
+SELECT loaded_until, field_name, service_date, CAST(sum(n) AS BIGINT) AS n_refs, CAST(sum(CASE WHEN live<=0 THEN n ELSE 0 END) AS BIGINT) AS n_orphans FROM l GROUP BY k, loaded_until, field_name, service_date"""
+)
+
 _RIDES = f"""
 WITH l AS (SELECT {clean_id('card_id')} AS card_id, {service_day('service_date', 'ride_dtm')} AS service_date, {readable('ride_dtm')} AS s, {readable('alight_dtm')} AS e FROM legs),
 v AS (SELECT * FROM l WHERE card_id IS NOT NULL AND service_date IS NOT NULL AND e>s),

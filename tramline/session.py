@@ -94,22 +94,27 @@ def sent(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFram
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
 
 
-_kept: dict[tuple, object] = {}
+_kept: dict[tuple, tuple[object, object]] = {}
 
 
 def once(spark: SparkSession, name: str, paths: list[str], build: Callable[[], object]):
-    """What build gives, derived once a session from the files below paths; anew if a file has changed."""
-    conf, files = spark._jsc.hadoopConfiguration(), []
+    """What build gives, derived once a session from the files below paths; anew if a file has changed, or the shared folder was cleared."""
+    hadoop, conf, files = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), []
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(conf)
-        found = fs.listFiles(p, True)
+        p = hadoop.Path(path)
+        found = p.getFileSystem(conf).listFiles(p, True)
         while found.hasNext():
             s = found.next()
             files.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
     key = (spark.sparkContext.applicationId, name, tuple(sorted(files)))
-    if key not in _kept:
+    kept, marker = _kept.get(key, (None, None))
+    if marker is None or not marker.getFileSystem(conf).exists(marker):
         for old in [k for k in _kept if k[0] != key[0]]:  # of a session that has ended
             del _kept[old]
-        _kept[key] = build()
-    return _kept[key]
+        kept = build()
+        marker = hadoop.Path(f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+        fs = marker.getFileSystem(conf)
+        fs.create(marker).close()
+        fs.deleteOnExit(marker)
+        _kept[key] = (kept, marker)
+    return kept
