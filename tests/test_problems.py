@@ -67,6 +67,61 @@ def test_digits_are_kept_and_misfits_told(spark):
     assert [(r.a and str(r.a), r.unfit) for r in rows] == [("12345678901234567890123.000000000000", []), ("1.500000000000", []), (None, ["a"]), (None, [])]
 
 
+def test_p4_legs_hold_every_value(spark, tmp_path):
+    """Every leg field and canonical name has a column; what no column holds is in rest, what can't be read in unread."""
+    from tramline.plans import problems
+
+    records = [
+        '{"CARD": 1, "source_label": "GATE-1", "FARE": 1200, "new_route_id": "r1", "is_child": true, "card_id": 2, "Card": 1, "passengers": 1.5, "feed": "x", "Route_ID": "r0"}',
+        '{"passengers": 0.1234567890123456789, "gate": {"no": [1, 2.50, "a", {}, []]}, "fare": null, "serial_num": 15e-1, "Feed_": "y", "mode_code": ""}',
+        '{"passengers": 1e30, "serial_num": 20e-1, "odd": "\\ud800", "deep": ' + "[" * 500 + "]" * 500 + "}",
+        "not json",
+        "[]",
+        None,
+    ]
+    spark.createDataFrame([(i, "f", "a", "20260301", r) for i, r in enumerate(records)], "record_id long, feed string, file_name string, file_date string, record_json string").write.parquet(f"{tmp_path}/leg_files.parquet")
+    aliases = [("card_id", "CARD"), ("fare.amount", "FARE"), ("feed", "Feed_"), ("never", "x"), ("line", "ROUTE_ID")]
+    spark.createDataFrame(aliases, "canonical_name string, alias string").write.parquet(f"{tmp_path}/field_aliases.parquet")
+    df = problems.p4_legs(spark, str(tmp_path))
+    assert set(problems.rejects.LEGS.fields) <= set(df.columns) and "fare.amount" in df.columns and "never" not in df.columns and df.columns.count("feed") == 1
+    rows = df.orderBy("record_id").collect()
+    assert [(r["card_id"], r["source_label"], r["fare.amount"], r["line"], r["route_id"], r["mode_code"], r["feed"]) for r in rows[:2]] == [(1, "GATE-1", 1200, "r0", None, None, "f"), (None, None, None, None, None, "", "f")]
+    assert [r.passengers and str(r.passengers) for r in rows[:3]] == ["1.500000000000", "0.123456789012", None] and rows[2].serial_num == 2
+    assert [sorted(map(tuple, r.rest)) for r in rows] == [
+        [("card_id", "2"), ("feed", "x"), ("is_child", "true"), ("new_route_id", "r1")],
+        [("feed", "y"), ("gate", '{"no": [1, 2.50, "a", {}, []]}'), ("passengers", "0.1234567890123456789"), ("serial_num", "15e-1")],
+        [("deep", "[" * 500 + "]" * 500), ("odd", "\ufffd"), ("passengers", "1e30")], [], [], [],
+    ]
+    assert [sorted(r.unfit) for r in rows] == [[], ["passengers", "serial_num"], ["passengers"], [], [], []]
+    assert [r.unread for r in rows] == [None, None, None, "not json", "[]", None]
+
+
+def test_p4_legs_of_the_given_files(spark, sf):
+    """Read apart from drift: the values of each record, by field, are those of its row."""
+    import json
+    from collections import Counter
+    from decimal import Decimal
+
+    from tramline.plans import problems
+
+    names = {a.lower(): c for c, a in spark.read.parquet(f"{sf}/field_aliases.parquet").select("canonical_name", "alias").collect()}
+    text = lambda v: ("true" if v else "false") if isinstance(v, bool) else str(v)
+    want = {}
+    for i, record in spark.read.parquet(f"{sf}/leg_files.parquet").select("record_id", "record_json").collect():
+        pairs = [(h.replace("\ufeff", "").strip().lower(), v) for h, v in json.loads(record, parse_int=str, parse_float=Decimal, object_pairs_hook=list)]
+        want[i] = Counter((names.get(h, h), text(v)) for h, v in pairs if v is not None)
+    rows = problems.p4_legs(spark, sf).collect()
+    assert len(rows) == len(want)
+    fields = problems.rejects.LEGS.fields
+    for r in rows:
+        assert not r.unfit and r.unread is None
+        got = Counter((f, v) for f, v in r.rest)
+        got.update((f, text(r[f])) for f in fields if r[f] is not None and not isinstance(r[f], Decimal))
+        numbers = Counter((f, r[f]) for f in fields if isinstance(r[f], Decimal))
+        left = want[r.record_id] - got
+        assert not got - want[r.record_id] and Counter((f, Decimal(v)) for f, v in left.elements()) == numbers
+
+
 def test_drift_of_nothing(spark):
     _, _, schemas = _drift(spark, [])
     assert drift.changes(schemas).count() == 0

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal, InvalidOperation
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,17 +25,27 @@ from pyspark.sql import functions as F
 TEXT, INTEGER, DECIMAL, BOOLEAN = 1, 2, 4, 8
 #: Types of the unified table; decimals keep 26 digits before the point, so that ids that meet decimals keep theirs.
 SPARK_TYPES = {"integer": "decimal(38,0)", "decimal": "decimal(38,12)", "boolean": "boolean", "text": "string"}
+#: Columns of the unified table beside the fields.
+OWN = ("record_id", "feed", "file_name", "file_date", "rest", "unfit", "unread")
 
 
-class _Int(str):
+class _Raw(str):
+    """JSON as written."""
+
+
+class _Int(_Raw):
     """A number without point, as written."""
 
 
-class _Dec(str):
+class _Dec(_Raw):
     """A number with point or exponent, as written."""
 
 
-_decoder = json.JSONDecoder(parse_int=_Int, parse_float=_Dec, parse_constant=_Dec, object_pairs_hook=lambda pairs: pairs)
+class _Object(list):
+    """The pairs of an object."""
+
+
+_decoder = json.JSONDecoder(parse_int=_Int, parse_float=_Dec, parse_constant=_Dec, object_pairs_hook=_Object)
 
 
 def normal_header(h: str) -> str:
@@ -42,12 +53,13 @@ def normal_header(h: str) -> str:
     return h.replace("﻿", "").strip().lower()
 
 
-def _pairs(record: str | None) -> list[tuple]:
+def _pairs(record: str | None) -> list[tuple] | None:
+    """The pairs of a record in their order; none if it isn't a readable object."""
     try:
-        pairs = _decoder.decode(record) if record else []
+        pairs = None if record is None else _decoder.decode(record)
     except (ValueError, RecursionError):
-        return []
-    return pairs if isinstance(pairs, list) and all(isinstance(p, tuple) for p in pairs) else []
+        return None
+    return pairs if isinstance(pairs, _Object) else None
 
 
 def _mask(v) -> int:
@@ -58,6 +70,45 @@ def _mask(v) -> int:
     return INTEGER if isinstance(v, _Int) else (DECIMAL if "." in v else INTEGER) if isinstance(v, _Dec) else TEXT
 
 
+def _text(v) -> str:
+    """A value as text: strings as they are, numbers as written, else JSON; without recursion, since the nesting may be deep."""
+    if isinstance(v, str):
+        return str(v)
+    out, todo = [], [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, list):
+            opened, closed = "{}" if isinstance(v, _Object) else "[]"
+            parts = [_Raw(opened)]
+            for i, x in enumerate(v):
+                key = json.dumps(x[0], ensure_ascii=False) + ": " if opened == "{" else ""
+                parts += [_Raw((", " if i else "") + key), x[1] if key else x]
+            todo += reversed([*parts, _Raw(closed)])
+        else:
+            out.append(v if isinstance(v, _Raw) else json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
+def _exact(number: str, places: int) -> bool:
+    """True if no digit is lost behind so many decimal places."""
+    if "e" not in number and "E" not in number and len(number.partition(".")[2]) <= places:
+        return True
+    try:
+        n = Decimal(number).as_tuple()
+    except InvalidOperation:
+        return False
+    digits = "".join(map(str, n.digits)).rstrip("0")
+    return isinstance(n.exponent, int) and (not digits or n.exponent + len(n.digits) - len(digits) >= -places)
+
+
+def _strings(values: list) -> pa.Array:
+    """Halves of surrogate pairs, which JSON can escape but no UTF-8 holds, come out as U+FFFD."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v and v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
+
+
 def alias_table(aliases: DataFrame) -> DataFrame:
     """header (normal), canonical: every alias and canonical name once. An alias beats a name's own spelling, of two canonical names the smaller counts."""
 
@@ -81,14 +132,14 @@ def file_schemas(records: DataFrame, aliases: DataFrame) -> DataFrame:
             rows = [(*k, m) for k, m in seen.items()]
             seen.clear()
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.int32())], ["feed", "file_date", "file_name", "header", "mask"])
+            return pa.RecordBatch.from_arrays([*(_strings(c) for c in cols[:4]), pa.array(cols[4], pa.int32())], ["feed", "file_date", "file_name", "header", "mask"])
 
         for b in batches:
             for feed, date, name, rec in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 pairs = _pairs(rec)
                 if not pairs:
                     seen.setdefault((feed, date, name, None), 0)
-                for h, v in pairs:
+                for h, v in pairs or ():
                     k = (feed, date, name, h)
                     seen[k] = seen.get(k, 0) | _mask(v)
             if len(seen) > 50_000:  # a state that outgrows the task's share is sent on and merged later
@@ -154,28 +205,67 @@ def union_schema(schemas: DataFrame, fields: list[str]) -> dict[str, str]:
     return {f: types.get(f, "string") for f in fields}
 
 
+def columns(schemas: DataFrame, aliases: DataFrame, fields: list[str]) -> list[str]:
+    """fields, then the other canonical names that occur in files, in their order; a name that is a column's already, but for case, gets no column."""
+    named = schemas.select("field_name").distinct().join(aliases.select(F.col("canonical").alias("field_name")).distinct(), "field_name", "left_semi")
+    out, taken = list(fields), {c.lower() for c in (*fields, *OWN, "_rough")}
+    # One row per canonical name.
+    for name in sorted(r.field_name for r in named.collect()):
+        if name.lower() not in taken:
+            out.append(name)
+            taken.add(name.lower())
+    return out
+
+
+def _quoted(field: str) -> str:
+    return "`" + field.replace("`", "``") + "`"
+
+
 def unified(records: DataFrame, schemas: DataFrame, types: dict[str, str]) -> DataFrame:
-    """record_id, feed, file_name, file_date, the canonical fields in the union schema, and unfit: the fields whose value does not fit its type and so is null.
+    """record_id, feed, file_name, file_date, the fields of types in the union schema, rest, unfit and unread; between them they hold every value that isn't null.
 
+    rest has field_name and value, as text, of all that the columns do not hold: other fields, further values of a field and values that do not fit.
+    unfit has the fields whose value does not fit its type and so is null, or rounded to its places. unread is a record that is no readable object.
     Of several headers of one field in a record the first value that isn't null counts. Integers that meet decimals or text keep their digits.
     """
     fields = list(types)
-    # The spellings under which these few fields occur.
-    spelt = schemas.filter(F.col("field_name").isin(fields)).select(F.explode("headers").alias("h"), "field_name").distinct().collect()
+    places = {f: int(t[:-1].split(",")[1]) for f, t in types.items() if t.startswith("decimal")}
+    # The aliases that occur; any other header is its own field.
+    spelt = schemas.select(F.explode("headers").alias("h"), "field_name").filter("h <> field_name").distinct().collect()
     aliases = {r.h: r.field_name for r in spelt}
+    pair = pa.struct([("field_name", pa.string()), ("value", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: dict[str, list] = {f: [None] * b.num_rows for f in fields}
+            names, values, ends, rough, unread = [], [], [0], [], []
             for i, rec in enumerate(b.column("record_json").to_pylist()):
-                for h, v in _pairs(rec):
-                    f = aliases.get(n := normal_header(h), n)
-                    if v is not None and f in cols and cols[f][i] is None:
-                        cols[f][i] = ("true" if v else "false") if isinstance(v, bool) else str(v) if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("record_id", "feed", "file_name", "file_date")] + [pa.array(cols[f], pa.string()) for f in fields], ["record_id", "feed", "file_name", "file_date", *fields])
+                pairs, lossy = _pairs(rec), []
+                for h, v in pairs or ():
+                    if v is None:
+                        continue
+                    f, v = aliases.get(n := normal_header(h), n), _text(v)
+                    if f in cols and cols[f][i] is None:
+                        cols[f][i] = v
+                        if f in places and not _exact(v, places[f]):
+                            lossy.append(f)
+                    elif f not in cols or cols[f][i] != v:
+                        names.append(f)
+                        values.append(v)
+                ends.append(len(names))
+                rough.append(lossy)
+                unread.append(rec if pairs is None else None)
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([_strings(names), _strings(values)], fields=list(pair)))
+            more = [*(_strings(cols[f]) for f in fields), rest, pa.array(rough, pa.list_(pa.string())), pa.array(unread, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in OWN[:4]] + more, [*OWN[:4], *fields, "rest", "_rough", "unread"])
 
     raw = records.select(F.col("record_id").cast("long").alias("record_id"), *(F.col(c).cast("string").alias(c) for c in ("feed", "file_name", "file_date", "record_json")))
-    text = raw.mapInArrow(read, "record_id long, feed string, file_name string, file_date string, " + ", ".join(f"`{f}` string" for f in fields))
-    cast = {f: F.col(f) if t == "string" else F.col(f).try_cast(t) for f, t in types.items()}
-    unfit = F.array_compact(F.array(*(F.when(F.col(f).isNotNull() & c.isNull(), F.lit(f)) for f, c in cast.items())))
-    return text.select("record_id", "feed", "file_name", "file_date", *(c.alias(f) for f, c in cast.items()), unfit.alias("unfit"))
+    told = "rest array<struct<field_name: string, value: string>>, _rough array<string>, unread string"
+    text = raw.mapInArrow(read, ", ".join(["record_id long, feed string, file_name string, file_date string", *(f"{_quoted(f)} string" for f in fields), told]))
+    cols = {f: F.col(_quoted(f)) for f in fields}
+    cast = {f: c if types[f] == "string" else c.try_cast(types[f]) for f, c in cols.items()}
+    misfit = {f: cols[f].isNotNull() & (cast[f].isNull() | F.array_contains("_rough", f)) for f in fields if types[f] != "string"}
+    unfit = F.array_compact(F.array(*(F.when(m, F.lit(f)) for f, m in misfit.items()))) if misfit else F.lit([]).cast("array<string>")
+    lost = [F.when(m, F.struct(F.lit(f).alias("field_name"), cols[f].alias("value"))) for f, m in misfit.items()]
+    rest = F.concat(F.array_compact(F.array(*lost)), "rest") if lost else F.col("rest")
+    return text.select(*OWN[:4], *(c.alias(f) for f, c in cast.items()), rest.alias("rest"), unfit.alias("unfit"), "unread")

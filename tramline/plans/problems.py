@@ -48,9 +48,9 @@ def p3_totals(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def _schemas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    records = dealt(table(spark, sf, "leg_files"), "record_id")
-    return records, drift.file_schemas(records, drift.alias_table(table(spark, sf, "field_aliases")))
+def _schemas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    records, aliases = dealt(table(spark, sf, "leg_files"), "record_id"), drift.alias_table(table(spark, sf, "field_aliases"))
+    return records, drift.file_schemas(records, aliases), aliases
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,9 +62,10 @@ def p4_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_legs(spark: SparkSession, sf: str) -> DataFrame:
-    records, schemas = _schemas(spark, sf)
+    """All fields of legs and all other canonical ones as columns; what the columns do not hold is in rest."""
+    records, schemas, aliases = _schemas(spark, sf)
     schemas = checkpointed(schemas)
-    return drift.unified(records, schemas, drift.union_schema(schemas, list(rejects.LEGS.fields[:-1])))
+    return drift.unified(records, schemas, drift.union_schema(schemas, drift.columns(schemas, aliases, list(rejects.LEGS.fields))))
 
 
 def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
